@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 
 import numpy as np
@@ -33,12 +35,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Shuffle files that only the cut lineage needed go once the driver collects its garbage, so that is done here.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+@contextlib.contextmanager
+def records_per_batch(spark: SparkSession, n: int):
+    """Arrow batches of at most ``n`` rows for what is run inside: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import SPACES, checkpoint, mix, slices, span_hasher, table, text_view, words
+from .common import SPACES, checkpoint, mix, records_per_batch, slices, span_hasher, table, text_view, words
 
 WORDS, SIMILARITY, K, ROWS, ROUNDS, TILE = 5, 0.8, 96, 4, 2, 512
 _MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -273,7 +273,8 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY, counts: bool = F
         else:
             pairs = now.join(mixed.select("key", "lead"), "key").where("label <> lead.label").select(F.col("lead.id").alias("p"), F.col("id").alias("q"))
             pairs = pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-            found = checkpoint(_verified(pairs, sets, threshold, counts))
+            with records_per_batch(docs.sparkSession, 256):  # two sets a row
+                found = checkpoint(_verified(pairs, sets, threshold, counts))
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)

@@ -12,7 +12,8 @@ equal ones meet and neighbouring ones mostly travel as one run of bytes.  Three
    no more than short ones.  Groups of suffixes equal on ``length`` bytes get the smallest id.
 3. Blocks take off what starts in a document with a smaller id.
 
-Blocks hold ``block_bytes`` and buckets the like; answers repeat a gram once for each block, whatever its copies.
+Blocks hold ``block_bytes`` and buckets the like (beyond 1 GB times the cube root of the GB, as every block writes to
+every bucket); answers repeat a gram once for each block, whatever its copies.
 All steps work on all bytes.  Runs meet by their bytes; a block finds the answer to a run under a 64-bit hash.
 
 Defined results: null as empty; matches never cross documents; a null id counts as larger than all others; rows with
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import checkpoint, gram_hashes, slices, span_hasher, table, text_view
+from .common import checkpoint, gram_hashes, mix, slices, span_hasher, table, text_view
 
 LENGTH, SEED = 50, 20
 #: Bytes of text that one step looks for runs in; its arrays stay in a core's cache.
@@ -73,7 +74,8 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int, seed: int):
     if not len(first):
         return none
     last = np.flatnonzero(valid & new[1:])
-    return hashes[place[first]], first, last, np.searchsorted(at, first, "right") - 1
+    # smallest hashes are mostly small: hashed again, they fill all buckets alike
+    return mix(hashes[place[first]] + np.uint64(0x9E3779B97F4A7C15)), first, last, np.searchsorted(at, first, "right") - 1
 
 
 def suffix_groups(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,10 +259,10 @@ def _block_grams(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.add.reduceat(differs, at) > 0 if len(at) else np.zeros(0, bool)
 
 
-def removal(docs: DataFrame, finish, schema: str, length: int = LENGTH, seed: int = SEED, block_bytes: int = 16 << 20) -> DataFrame:
+def removal(docs: DataFrame, finish, schema: str, length: int = LENGTH, seed: int = SEED, block_bytes: int = 4 << 20) -> DataFrame:
     """``finish(raw, offsets, covered, other columns) -> pa.Table`` for rows of ``docs``; covered: a flag for each byte."""
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    size = block_bytes * max(1.0, math.sqrt(total / 64e9))
+    size = block_bytes * max(1.0, (total / 1e9) ** (1 / 3))
     n = max(1, math.ceil(total / size))
     packed = _pack(docs, n)
 
@@ -388,7 +390,7 @@ def _undeltas(body: bytes, count: int) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = 16 << 20) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4 << 20) -> DataFrame:
     """The columns of op4 for documents (doc_id, text)."""
 
     def finish(raw, at, covered, rest):
@@ -403,7 +405,7 @@ def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = 16 << 20)
     return removal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, block_bytes=block_bytes)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = 16 << 20) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; characters that are cut in two go as a whole.
 
     Every row stays, and all columns; ``n_chars``, where there is one, follows the text.  A null text stays null.
