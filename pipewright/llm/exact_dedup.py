@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, fresh, table
 
 CHUNK_MIN, CHUNK_MAX = 192, 2048
 _CHUNKS = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX - 1}}}?[.!?\n]|.{{1,{CHUNK_MAX}}}"
@@ -53,11 +53,12 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of equal texts the one with the largest doc_id."""
-    stay = duplicate_groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha0", F.sha2(normalised(F.col("text")), 256))
-    out = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return (out if repeated else out.dropDuplicates(["doc_id", "_sha0"])).drop("_sha0")
+    own, key, other = (fresh(docs, x) for x in ("_sha", "_id", "_sha2"))
+    stay = duplicate_groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(other))
+    marked = docs.withColumn(own, F.sha2(normalised(F.col("text")), 256))
+    out = marked.join(stay, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(other)), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return (out if repeated.isEmpty() else out.dropDuplicates(["doc_id", own])).drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

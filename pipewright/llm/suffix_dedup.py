@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import checkpoint, gram_hashes, mix, slices, span_hasher, table, text_view
+from .common import checkpoint, fresh, gram_hashes, mix, slices, span_hasher, table, text_view
 
 LENGTH, SEED = 50, 20
 #: Bytes of text that one step looks for runs in; its arrays stay in a core's cache.
@@ -203,12 +203,13 @@ def _bucket_bounds(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _pack(docs: DataFrame, n_blocks: int) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
-    marked = docs.withColumn("_block", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_blocks)).cast("int"))
+    dealt = fresh(docs, "_block")
+    marked = docs.withColumn(dealt, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_blocks)).cast("int"))
 
     def run(batches):
         for b in batches:
             t = pa.Table.from_batches([b])
-            block = t["_block"].to_numpy()
+            block = t[dealt].to_numpy()
             order = np.argsort(block, kind="stable")
             t = t.take(pa.array(order))
             edges = np.append(np.flatnonzero(np.append(True, np.diff(block[order]) != 0)), len(order)) if len(order) else [0]
@@ -411,12 +412,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4 << 20) ->
     Every row stays, and all columns; ``n_chars``, where there is one, follows the text.  A null text stays null.
     """
     order, names = docs.schema, docs.columns
-    flagged = docs.withColumn("_null", F.col("text").isNull())
+    missing = fresh(docs, "_null")
+    flagged = docs.withColumn(missing, F.col("text").isNull())
 
     def finish(raw, at, covered, rest):
         if rest is None:
             return pa.table({f.name: pa.array([], k) for f, k in zip(order, _kinds(order), strict=True)})
-        null = rest["_null"].to_pylist()
+        null = rest[missing].to_pylist()
         text = [None if null[k] else raw[at[k] : at[k + 1]][~covered[at[k] : at[k + 1]]].tobytes().decode("utf-8", "ignore") for k in range(len(at) - 1)]
         columns = {c: rest[c] for c in names if c != "text"} | {"text": pa.array(text, pa.string())}
         if "n_chars" in columns:
