@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipewright.llm import exact_dedup, minhash, packing, suffix_dedup, toxicity
-from pipewright.llm.common import shared_folder, table
+from pipewright.llm.common import fresh, shared_folder, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5.  It learns from the labelled documents outside the held-out fold."""
     model = toxicity.fit(toxicity.training_rows(spark, sf_dir, "toxic"))
-    return toxicity.score(docs, model, tuple(docs.columns), "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    name = fresh(docs, "_toxicity")
+    return toxicity.score(docs, model, tuple(docs.columns), name).where(F.col(name) < 0.5).drop(name)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
