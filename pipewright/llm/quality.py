@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, held_out, slices, span_hasher, table, text_view, words
-from .toxicity import training_rows
+from .toxicity import lowest, training_rows
 
 FEATURES = (
     "log_bytes", "upper", "digits", "spaces", "marks", "stops", "symbols", "pipes", "high", "word_bytes", "long_words",
@@ -219,7 +219,7 @@ def fit(labelled: DataFrame, max_rows: int = 12_000, seed: int = 29) -> Additive
     """Fit on rows (doc_id, text, label); at most ``max_rows`` of each class, lowest hash first."""
     rows = []
     for c in (0, 1):
-        part = labelled.where(F.col("label") == c).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
+        part = lowest(labelled.where(F.col("label") == c), max_rows, seed)
         rows += with_features(part.select("label", "text"), ("label",), name="x").collect()
     return fit_arrays(np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.label for r in rows], float))
 
