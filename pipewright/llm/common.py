@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder: for columns that repeat much."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @contextlib.contextmanager
 def records_per_batch(spark: SparkSession, n: int):
     """Arrow batches of at most ``n`` rows for what is run inside: for rows that are large."""

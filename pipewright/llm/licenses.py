@@ -1,7 +1,7 @@
 """Licence scans with DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along paths.
 
 Every line of a text is a candidate when it shares a content word with a template; all others have cosine 0.  Equal
-candidates are scored once.  Document frequencies are those of all candidate lines of the corpus.  A line's licence is
+candidates are scored once, under a key of 128 bits of their hash.  Document frequencies are those of all candidate lines of the corpus.  A line's licence is
 the template of the highest cosine, if that is ``THRESHOLD`` or more; a file's licence is that of its best line (ties:
 the smaller name).  A file whose words are at least half in licence lines is a licence file, and gives its licence to
 its directory (the best score, then the smaller name).  A file without a licence takes that of its nearest ancestor
@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, stored, table
 
 THRESHOLD = 0.55
+#: Shares into which the files of one line are dealt: a line that a third of all files have is no single task's work.
+SALTS = 64
 
 #: Notices by which public licences ask to be named; fixed values.
 TEMPLATES = (
@@ -49,6 +51,11 @@ def _terms(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
 
 
+def _key(line: str):
+    """128 bits of the line's SHA-256: shuffles carry it in place of the line."""
+    return F.substring(F.unhex(F.sha2(F.col(line), 256)), 1, 16)
+
+
 def template_terms(spark: SparkSession) -> DataFrame:
     """template, term, tf of TEMPLATES: a table of fixed size."""
     rows = spark.createDataFrame(_NOTICES, "template string, body string")
@@ -63,26 +70,28 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = files.sparkSession
     vocabulary = sorted({w for _, body in TEMPLATES for w in "".join(c if c.isalnum() else " " for c in body.lower()).split()} - set(STOP_WORDS))
     known = F.array(*map(F.lit, vocabulary))
-    rows = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
-    lines = rows.select("file_id", "path", F.size(_terms(F.col("text"))).alias("words"), F.explode_outer(F.filter(F.split("text", r"\n"), lambda x: F.arrays_overlap(_terms(x), known))).alias("line"))
-    found = checkpoint(lines.withColumn("line", F.array_join(_terms(F.col("line")), " ")))
-    segments = found.where("line is not null").groupBy("line").agg(F.count("*").alias("n"))
-    terms = checkpoint(segments.select("line", "n", F.explode(F.split("line", " ")).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf")))
+    rows = files.select("file_id", "path", F.transform(F.split(F.coalesce("text", F.lit("")), r"\n"), _terms).alias("lines"))
+    words = F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x))
+    lines = rows.select("file_id", "path", words.alias("words"), F.explode_outer(F.filter("lines", lambda x: F.arrays_overlap(x, known))).alias("terms"))
+    salt = F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt")
+    found = stored(lines.withColumn("line", F.array_join("terms", " ")).select("file_id", "path", "words", F.size("terms").alias("size"), "line", _key("line").alias("key"), salt))
+    parts = found.where("line is not null").groupBy("key", "salt").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
+    segments = parts.groupBy("key").agg(F.sum("n").alias("n"), F.any_value("line").alias("line"))
+    terms = stored(segments.select("key", "n", F.explode(F.split("line", " ")).alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf")))
     frequency = terms.groupBy("term").agg(F.sum("n").alias("df"))
-    total = segments.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    n = total.first()["total"]
+    n = found.where("line is not null").count()
     idf = lambda df: F.log((F.lit(1.0) + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0
-    weighed = terms.join(frequency, "term").select("line", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
-    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    template = template_terms(spark).join(frequency, "term", "left").select("template", "term", (F.col("tf") * idf(F.col("df"))).alias("v"))
+    norms = terms.join(frequency, "term").groupBy("key").agg(F.sqrt(F.sum((F.col("tf") * idf(F.col("df"))) ** 2)).alias("norm"))
+    template = template_terms(spark).join(frequency, "term", "left").select("template", "term", idf(F.col("df")).alias("idf"), (F.col("tf") * idf(F.col("df"))).alias("v"))
     sizes = template.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-    dots = weighed.join(F.broadcast(template), "term").groupBy("line", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # the templates' fixed table
-    scored = dots.join(norms, "line").join(F.broadcast(sizes), "template").select("line", "template", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("score"))
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b")).where(-F.col("b.s") >= threshold)
-    judged = found.join(best, "line", "left")
+    dots = terms.join(F.broadcast(template), "term").groupBy("key", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("v")).alias("dot"))  # the templates' fixed table
+    scored = dots.join(norms, "key").join(F.broadcast(sizes), "template").select("key", "template", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("score"))
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b")).where(-F.col("b.s") >= threshold)
+    spread = found.where("line is not null").select("key", "salt").distinct().join(best, "key")
+    judged = found.select("file_id", "path", "words", "size", "key", "salt").join(spread, ["key", "salt"], "left")
     own = checkpoint(
         judged.groupBy("file_id", "path").agg(
-            F.min("b").alias("b"), F.first("words").alias("words"), F.sum(F.when(F.col("b").isNotNull(), F.size(F.split("line", " "))).otherwise(0)).alias("licensed")
+            F.min("b").alias("b"), F.first("words").alias("words"), F.sum(F.when(F.col("b").isNotNull(), F.col("size")).otherwise(0)).alias("licensed")
         ).select("file_id", "path", F.substring_index("b.template", "#", 1).alias("license"), (-F.col("b.s")).alias("score"), (F.col("b").isNotNull() & (2 * F.col("licensed") >= F.col("words"))).alias("is_file"))
     )
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
