@@ -12,21 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.lang.interp import Env, compiled, run
+from pipewright.lang.interp import Env, run
+from pipewright.lang.modules import load
 from pipewright.lang.values import FilterError, dumps
 
 
-def apply_json(df: DataFrame, program: str, column: str = "value", keep: tuple[str, ...] = (), variables: dict | None = None, errors: str = "raise") -> DataFrame:
-    """``keep`` columns, pos, output (JSON text) and error of the program on the JSON text in ``column``; null is null."""
-    compiled(program)  # syntax errors show on the driver
+def apply_json(df: DataFrame, program: str, column: str = "value", keep: tuple[str, ...] = (), variables: dict | None = None, errors: str = "raise", modules: dict[str, str] | None = None) -> DataFrame:
+    """``keep`` columns, pos, output (JSON text) and error of the program on the JSON text in ``column``; null is null.
+
+    ``modules``: texts of the modules that the program imports, by name.
+    """
+    load(program, modules, variables)  # syntax errors show on the driver
 
     def work(batches):
-        tree = compiled(program)
+        tree, top = load(program, modules, variables)
         for b in batches:
             source, pos, out, bad = [], [], [], []
             for i, text in enumerate(b.column(column).to_pylist()):
                 try:
-                    for k, x in enumerate(run(tree, None if text is None else json.loads(text), Env(vars=variables))):
+                    for k, x in enumerate(run(tree, None if text is None else json.loads(text), Env(top.vars, top.funcs))):
                         source.append(i), pos.append(k), out.append(dumps(x)), bad.append(None)
                 except (FilterError, ValueError, RecursionError) as e:
                     if errors == "raise":

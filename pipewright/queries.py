@@ -89,7 +89,11 @@ DYNAMIC: dict[str, tuple[str, tuple[str, ...], str, str]] = {
     "dynamic_try": ("nation", ("n_nationkey",), "try (if .n_regionkey == 0 then error(\"zero\") else .n_regionkey end) catch .", "select n_nationkey, 0 as pos, case when n_regionkey = 0 then '\"zero\"' else n_regionkey::varchar end as output from nation"),
     "dynamic_stream": ("region", ("r_regionkey",), "fromstream(tostream) | .r_regionkey", "select r_regionkey, 0 as pos, r_regionkey::varchar as output from region"),
     "dynamic_label": ("nation", ("n_nationkey",), "label $out | range(10) | if . > 2 then break $out else . end", "select n_nationkey, pos, pos::varchar as output from nation, (select unnest([0, 1, 2]) as pos)"),
+    "dynamic_events": ("region", ("r_regionkey",), "tostream", "select r_regionkey, pos, case pos when 0 then '[[\"r_regionkey\"],' || r_regionkey || ']' when 1 then '[[\"r_name\"],\"' || r_name || '\"]' else '[[\"r_name\"]]' end as output from region, (select unnest([0, 1, 2]) as pos)"),
+    "dynamic_module": ("nation", ("n_nationkey",), "import \"names\" as n; n::tag(.n_name)", "select n_nationkey, 0 as pos, '\"<' || lower(n_name) || '>\"' as output from nation"),
 }
+#: What programs may import.
+MODULES = {"names": 'def tag(f): "<\\(f | ascii_downcase)>";'}
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def _static(table: str, program: str):
 
 def _dynamic(table: str, keep: tuple[str, ...], program: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return apply_rows(spark.read.parquet(f"{sf_dir}/{table}.parquet"), program, keep).drop("error")
+        return apply_rows(spark.read.parquet(f"{sf_dir}/{table}.parquet"), program, keep, modules=MODULES).drop("error")
 
     return query
 
