@@ -14,6 +14,7 @@ no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunks import ChunkCache, ascii_kinds
 from .common import checkpoint, table, text_view
 
 CAPACITY, END_ID = 4096, 1
@@ -128,9 +129,16 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarr
     return tuple(np.array(x, np.int64)[order] for x in (keys, sequences, offsets))
 
 
+#: The pattern of a tokeniser that parts letters, single digits and marks, contractions aside.
+_BY_KIND = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORKER: dict[str, ChunkCache] = {}
 
 
+def parts_by_kind(settings: dict) -> bool:
+    """Whether a tokeniser keeps letters, digits and marks apart, and digits from each other: its pattern says so."""
+    return any(p.get("pattern") == {"Regex": _BY_KIND} for p in (settings.get("pre_tokenizer") or {}).get("pretokenizers", ()))
+
+
 def worker_cache(path: str) -> ChunkCache:
     if path not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,7 +155,7 @@ def worker_cache(path: str) -> ChunkCache:
             which = [ids[number[c]] for c in plain]
             return np.array([t for x in which for t in x], np.int32), np.array([len(x) for x in which], np.int64)
 
-        _WORKER[path] = ChunkCache(encode)
+        _WORKER[path] = ChunkCache(encode, kinds=ascii_kinds() if parts_by_kind(json.loads(tokenizer.to_str())) else None)
     return _WORKER[path]
 
 
