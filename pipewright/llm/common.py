@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -78,6 +79,28 @@ def records_per_batch(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
+def trim() -> None:
+    """Give what this process has freed back to the system: a worker lives on after its task, beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its pages
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work):
+    """``work`` over Arrow batches, with memory given back before the first and after each."""
+
+    def run(batches):
+        def source():
+            trim()  # of what an earlier task left
+            for b in batches:
+                yield b
+                trim()
+
+        yield from work(source())
+
+    return run
+
+
 def held_out(doc_id: str = "doc_id"):
     """The fixed fold: crc32 of the id's text, modulo 5, is 0.  A null id is in no fold (false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import SPACES, checkpoint, mix, records_per_batch, slices, span_hasher, table, text_view, words
+from .common import SPACES, checkpoint, mix, records_per_batch, slices, span_hasher, table, text_view, tidy, trim, words
 
 WORDS, SIMILARITY, K, ROWS, ROUNDS, TILE = 5, 0.8, 96, 4, 2, 512
 _MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, counts: bool = False) -> DataFrame:
                     [batch.column("doc_id").slice(i, n), pa.array(a.view(np.int64), mask=none), pa.array(b.view(np.int64), mask=none), lists], ["doc_id", "a", "b", "bands"]
                 )
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, a long, b long, bands array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, a long, b long, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, counts: bool) -> DataFrame:
@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, ids: DataFrame, counts: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(body, pa.binary())], ["id", "body"])
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return named.join(ids, "id", "left_semi").mapInArrow(run, "id long, body binary").groupBy("id").agg(F.max("body").alias("body"))
+    return named.join(ids, "id", "left_semi").mapInArrow(tidy(run), "id long, body binary").groupBy("id").agg(F.max("body").alias("body"))
 
 
 def similarity(a: bytes, b: bytes, counts: bool = False) -> float:
@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, counts: bool)
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("id").alias("y"), F.col("body").alias("q")), "y")
-    return one.join(sets.select(F.col("id").alias("x"), F.col("body").alias("p")), "x").select("x", "y", "p", "q").mapInArrow(run, "x long, y long")
+    return one.join(sets.select(F.col("id").alias("x"), F.col("body").alias("p")), "x").select("x", "y", "p", "q").mapInArrow(tidy(run), "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,6 +220,7 @@ def _crowd_links(now: DataFrame, mixed: DataFrame, sets: DataFrame, threshold: f
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "body")
 
     def compare(t: pa.Table) -> pa.Table:
+        trim()
         ids, labels = t["id"].to_numpy(), t["label"].to_pylist()
         unit = 12 if counts else 8
         bodies = t["body"].to_pylist()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import checkpoint, fresh, gram_hashes, mix, slices, span_hasher, table, text_view
+from .common import checkpoint, fresh, gram_hashes, mix, slices, span_hasher, table, text_view, tidy, trim
 
 LENGTH, SEED = 50, 20
 #: Bytes of text that one step looks for runs in; its arrays stay in a core's cache.
@@ -225,7 +225,7 @@ def _pack(docs: DataFrame, n_blocks: int) -> DataFrame:
                     ["block", "data", "sizes", "rest"],
                 )
 
-    return marked.mapInArrow(run, "block int, data binary, sizes binary, rest binary")
+    return marked.mapInArrow(tidy(run), "block int, data binary, sizes binary, rest binary")
 
 
 _ANSWER = "block int, bucket int, body binary"
@@ -268,6 +268,7 @@ def removal(docs: DataFrame, finish, schema: str, length: int = LENGTH, seed: in
     packed = _pack(docs, n)
 
     def ask(t: pa.Table) -> pa.Table:
+        trim()
         block = t["block"][0].as_py()
         h, twice = _block_grams(_block_runs(_Block(t), length, seed))
         cut, rows = _bucket_bounds(h, n), []
@@ -279,6 +280,7 @@ def removal(docs: DataFrame, finish, schema: str, length: int = LENGTH, seed: in
         return _table([("bucket", _INT), ("block", _INT), ("count", _INT), ("body", _BIN)], rows)
 
     def which(t: pa.Table) -> pa.Table:
+        trim()
         asked = list(zip(*(t[c].to_pylist() for c in ("block", "count", "body")), strict=True))
         grams = [_undeltas(body, m) for _, m, body in asked]
         flags = [np.unpackbits(np.frombuffer(body[5 * m + 8 :], np.uint8), count=m).astype(bool) for _, m, body in asked]
@@ -297,6 +299,7 @@ def removal(docs: DataFrame, finish, schema: str, length: int = LENGTH, seed: in
         )
 
     def send(t: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         if not len(t) or not len(answers):
             return _table([("bucket", _INT), ("block", _INT), ("grams", _BIN), ("keys", _BIN), ("sizes", _BIN), ("ids", _BIN), ("data", _BIN)], [])
         which_block, slices_ = t["block"][0].as_py(), _block_runs(_Block(t), length, seed)
@@ -328,6 +331,7 @@ def removal(docs: DataFrame, finish, schema: str, length: int = LENGTH, seed: in
         return _table([("bucket", _INT), ("block", _INT), ("grams", _BIN), ("keys", _BIN), ("sizes", _BIN), ("ids", _BIN), ("data", _BIN)], rows)
 
     def sort(t: pa.Table) -> pa.Table:
+        trim()
         grams = [_unzip(x, np.uint64) for x in t["grams"].to_pylist()]
         sizes = [_unzip(x, np.int32).astype(np.int64) for x in t["sizes"].to_pylist()]
         ids = [_unzip(x, np.int64) for x in t["ids"].to_pylist()]
@@ -341,6 +345,7 @@ def removal(docs: DataFrame, finish, schema: str, length: int = LENGTH, seed: in
         return _table([("block", _INT), ("bucket", _INT), ("keys", _BIN), ("windows", _BIN), ("least", _BIN)], rows)
 
     def cut_off(t: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         keys, counts, least = (
             np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) if c == "keys" else _unzip(x, kind) for x in answers[c].to_pylist())])
             for c, kind in (("keys", np.uint64), ("windows", np.int32), ("least", np.int64))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, held_out, slices, span_hasher, table, text_view, words
+from .common import NON_ALNUM, held_out, slices, span_hasher, table, text_view, tidy, words
 
 BITS = 20
 
@@ -127,7 +127,7 @@ def _sample(labelled: DataFrame, max_per_class: int, seed: int):
 
     rows = []
     for p in parts:
-        rows += p.select("text", F.col("label").cast("int")).mapInArrow(extract, "label int, cols binary, swap binary").collect()
+        rows += p.select("text", F.col("label").cast("int")).mapInArrow(tidy(extract), "label int, cols binary, swap binary").collect()
     return rows
 
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(shared.value.score_batch(b.column("text")))], [*keep, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(tidy(run), schema)
 
 
 def training_rows(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
