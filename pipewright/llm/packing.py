@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, ascii_kinds
+from .chunks import ChunkCache, ascii_kinds, gather
 from .common import checkpoint, table, text_view, tidy
 
 CAPACITY, END_ID = 4096, 1
+#: Chunks that the tokeniser gets in one call; bounds its results, which are far larger than their ids.
+ENCODED_AT_ONCE = 4096
 
 
 def pack_histogram(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -151,9 +154,14 @@ def worker_cache(path: str) -> ChunkCache:
             plain = [c.strip(b" \t\n\r\v\f").lower() for c in chunks]  # the tokeniser drops white space and lower-cases
             unique = list(dict.fromkeys(plain))
             number = {c: k for k, c in enumerate(unique)}
-            ids = [e.ids for e in tokenizer.encode_batch_fast([c.decode() for c in unique], add_special_tokens=False)]
-            which = [ids[number[c]] for c in plain]
-            return np.array([t for x in which for t in x], np.int32), np.array([len(x) for x in which], np.int64)
+            pools, sizes = [], []
+            for k in range(0, len(unique), ENCODED_AT_ONCE):
+                ids = [e.ids for e in tokenizer.encode_batch_fast([c.decode() for c in unique[k : k + ENCODED_AT_ONCE]], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                pools.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1].sum())))
+            sizes = np.concatenate(sizes)
+            which = np.fromiter((number[c] for c in plain), np.int64, len(plain))
+            return gather(np.concatenate(pools), (np.cumsum(sizes) - sizes)[which], sizes[which]), sizes[which]
 
         _WORKER[path] = ChunkCache(encode, kinds=ascii_kinds() if parts_by_kind(json.loads(tokenizer.to_str())) else None)
     return _WORKER[path]
