@@ -1,7 +1,8 @@
 """Licence scans with DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along paths.
 
 Every line of a text is a candidate when it shares a content word with a template; all others have cosine 0.  Equal
-candidates are scored once, under a key of 128 bits of their hash.  Document frequencies are those of all candidate lines of the corpus.  A line's licence is
+candidates are scored once, under a key of 128 bits of their hash.  Document frequencies are counted over all lines
+that have a content word; with ``candidates_only`` over the candidate lines, as op8's SQL has it.  A line's licence is
 the template of the highest cosine, if that is ``THRESHOLD`` or more; a file's licence is that of its best line (ties:
 the smaller name).  A file whose words are at least half in licence lines is a licence file, and gives its licence to
 its directory (the best score, then the smaller name).  A file without a licence takes that of its nearest ancestor
@@ -62,9 +63,19 @@ def template_terms(spark: SparkSession) -> DataFrame:
     return rows.select("template", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
 
 
-def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def line_frequencies(files: DataFrame) -> tuple[DataFrame, int]:
+    """term, df over all lines of ``text`` that have a content word, and the number of those lines."""
+    lines = files.select(F.explode(F.split("text", r"\n")).alias("line")).select(F.array_distinct(_terms(F.col("line"))).alias("terms")).where(F.size("terms") > 0)
+    # each task sums up its terms before they are dealt out; the null term counts the lines
+    counts = stored(lines.select(F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    n = counts.where("term is null").select("df").first()
+    return counts.where("term is not null"), n.df if n else 0
+
+
+def scan(files: DataFrame, threshold: float = THRESHOLD, candidates_only: bool = False) -> DataFrame:
     """The rows of ``files`` (file_id, path, text) as file_id, path, license, score, origin.
 
+    candidates_only: count document frequencies over the candidate lines instead of all lines.
     origin: "header", "file" (a licence file), "inherited", or null without a licence.
     """
     spark = files.sparkSession
@@ -78,8 +89,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = found.where("line is not null").groupBy("key", "salt").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
     segments = parts.groupBy("key").agg(F.sum("n").alias("n"), F.any_value("line").alias("line"))
     terms = stored(segments.select("key", "n", F.explode(F.split("line", " ")).alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf")))
-    frequency = terms.groupBy("term").agg(F.sum("n").alias("df"))
-    n = found.where("line is not null").count()
+    if candidates_only:
+        frequency, n = terms.groupBy("term").agg(F.sum("n").alias("df")), found.where("line is not null").count()
+    else:
+        frequency, n = line_frequencies(files)
     idf = lambda df: F.log((F.lit(1.0) + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0
     norms = terms.join(frequency, "term").groupBy("key").agg(F.sqrt(F.sum((F.col("tf") * idf(F.col("df"))) ** 2)).alias("norm"))
     template = template_terms(spark).join(frequency, "term", "left").select("template", "term", idf(F.col("df")).alias("idf"), (F.col("tf") * idf(F.col("df"))).alias("v"))
@@ -117,7 +130,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8 over ``documents``, as files source/lang/doc_id."""
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return scan(files).select(F.col("file_id").alias("doc_id"), "license", "score", "origin")
+    return scan(files, candidates_only=True).select(F.col("file_id").alias("doc_id"), "license", "score", "origin")
 
 
 def _sql() -> str:

@@ -273,6 +273,19 @@ def test_licenses(spark, none):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_license_frequencies_are_of_all_lines(spark):
+    """Lines without a template's word count too: else the words of notices are taken for common ones."""
+    notes = "\n".join("released mit license" if i % 2 else "licensed apache license version 2 0" for i in range(200))
+    header = "# 2021 Example Corp. Licensed under the Apache License, Version 2.0"
+    prose = "\n".join(f"example corp 2021 filler number {i}" for i in range(400))
+    files = spark.createDataFrame([(1, "a/x", header), (2, "b/y", notes), (3, "c/z", prose)], "file_id long, path string, text string")
+    df, n = licenses.line_frequencies(files)
+    assert n == 601 and {r.term: r.df for r in df.where("term in ('mit', 'corp', 'filler')").collect()} == {"mit": 100, "corp": 401, "filler": 400}
+    whole, some = ({r.file_id: r for r in licenses.scan(files, candidates_only=c).collect()} for c in (False, True))
+    assert whole[1].license == "Apache-2.0" and whole[1].score > 0.7
+    assert some[1].license is None
+
+
 def brute_cost(roles):
     """The least cost over all repairs, by trying every one."""
 
