@@ -4,7 +4,9 @@ Every line of a text is a candidate when it shares a content word with a templat
 candidates are scored once, under a key of 128 bits of their hash.  Document frequencies are counted over all lines
 that have a content word; with ``candidates_only`` over the candidate lines, as op8's SQL has it.  A line's licence is
 the template of the highest cosine, if that is ``THRESHOLD`` or more; a file's licence is that of its best line (ties:
-the smaller name).  A file whose words are at least half in licence lines is a licence file, and gives its licence to
+the smaller name).  A file's whole term vector is scored against the full texts in ``licence_texts`` too, with document
+frequencies over all files; at ``FILE_THRESHOLD`` or more it is a licence file of the best text's licence and score.  So
+is, with its best line's, a file whose words are at least half in licence lines.  A licence file gives its licence to
 its directory (the best score, then the smaller name).  A file without a licence takes that of its nearest ancestor
 directory that has one, by an equi-join on all ancestors of its path.
 
@@ -14,12 +16,15 @@ scored alike and all returned; an empty table gives an empty result.  Scores are
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, stored, table
+from .fingerprint import _let
 
-THRESHOLD = 0.55
+THRESHOLD, FILE_THRESHOLD = 0.55, 0.8
 #: Shares into which the files of one line are dealt: a line that a third of all files have is no single task's work.
 SALTS = 64
 
@@ -63,6 +68,51 @@ def template_terms(spark: SparkSession) -> DataFrame:
     return rows.select("template", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
 
 
+def full_terms(spark: SparkSession) -> DataFrame:
+    """template, term, tf of the licences' full texts: a table of fixed size."""
+    texts = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    rows = spark.createDataFrame(texts, "template string, body string")
+    return rows.select("template", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
+
+
+def _counts(terms):
+    """array<struct<term, tf>> of an array of terms."""
+    runs = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    count = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
+    return F.when(F.size(terms) > 0, _let(F.sort_array(terms), lambda s: _let(runs(s), lambda at: count(s, at))))
+
+
+def licence_files(files: DataFrame, threshold: float = FILE_THRESHOLD) -> DataFrame:
+    """file_id, path, w (s: minus the cosine, template) of the files whose whole text is near to a licence's full text."""
+    spark = files.sparkSession
+    texts = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
+    words = texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    frequency = stored(words.groupBy("term").agg(F.count("*").alias("df")))
+    n = files.count()
+    idf = F.log((F.lit(1.0) + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
+    full = stored(full_terms(spark).join(frequency, "term", "left").select("template", "term", idf.alias("idf"), (F.col("tf") * idf).alias("v")))
+    sizes = full.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    # no cosine is above the share of known terms in a vector's length, and no idf of the others is below 1
+    known = full.select("term", "idf").distinct()
+    # the key is taken before the rows are spread: else it is computed again for every term
+    parts = texts.select("file_id", "path", _key("text").alias("key"), _counts(_terms(F.col("text"))).alias("terms")).select("file_id", "path", "key", F.inline("terms")).join(F.broadcast(known), "term", "left")
+    square = F.col("tf") * F.col("tf")
+    bound = parts.groupBy("file_id", "path", "key").agg(F.coalesce(F.sum(square * F.col("idf") * F.col("idf")), F.lit(0.0)).alias("a"), F.sum(F.when(F.col("idf").isNull(), square).otherwise(0)).alias("b"))
+    salt = F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt")
+    near = stored(bound.where(F.col("a") * (1 + 1e-9) >= threshold**2 * (F.col("a") + F.col("b"))).select("file_id", "path", "key", salt))
+    salted = near.select("key", "salt").distinct()
+    keys = salted.select("key").distinct()
+    if keys.count() <= 100_000:  # 16 bytes each; more are joined by a shuffle of the texts
+        keys = F.broadcast(keys)
+    once = texts.select("text", _key("text").alias("key")).join(keys, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
+    terms = stored(once.select("key", _counts(_terms(F.col("text"))).alias("terms")).select("key", F.inline("terms")))
+    norms = terms.join(frequency, "term").groupBy("key").agg(F.sqrt(F.sum((F.col("tf") * idf) ** 2)).alias("norm"))
+    dots = terms.join(F.broadcast(full), "term").groupBy("key", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("v")).alias("dot"))
+    scored = dots.join(norms, "key").join(F.broadcast(sizes), "template").select("key", "template", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("score"))
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("w")).where(-F.col("w.s") >= threshold)
+    return near.join(salted.join(best, "key"), ["key", "salt"]).select("file_id", "path", "w")
+
+
 def line_frequencies(files: DataFrame) -> tuple[DataFrame, int]:
     """term, df over all lines of ``text`` that have a content word, and the number of those lines."""
     lines = files.select(F.explode(F.split("text", r"\n")).alias("line")).select(F.array_distinct(_terms(F.col("line"))).alias("terms")).where(F.size("terms") > 0)
@@ -101,11 +151,12 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, candidates_only: bool =
     scored = dots.join(norms, "key").join(F.broadcast(sizes), "template").select("key", "template", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("score"))
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b")).where(-F.col("b.s") >= threshold)
     spread = found.where("line is not null").select("key", "salt").distinct().join(best, "key")
-    judged = found.select("file_id", "path", "words", "size", "key", "salt").join(spread, ["key", "salt"], "left")
+    judged = found.select("file_id", "path", "words", "size", "key", "salt").join(spread, ["key", "salt"], "left").drop("key", "salt")
+    licensed = F.col("b").isNotNull() & (2 * F.col("licensed") >= F.col("words"))
     own = checkpoint(
-        judged.groupBy("file_id", "path").agg(
-            F.min("b").alias("b"), F.first("words").alias("words"), F.sum(F.when(F.col("b").isNotNull(), F.col("size")).otherwise(0)).alias("licensed")
-        ).select("file_id", "path", F.substring_index("b.template", "#", 1).alias("license"), (-F.col("b.s")).alias("score"), (F.col("b").isNotNull() & (2 * F.col("licensed") >= F.col("words"))).alias("is_file"))
+        judged.unionByName(licence_files(files), allowMissingColumns=True).groupBy("file_id", "path").agg(
+            F.min("b").alias("b"), F.min("w").alias("w"), F.first("words", ignorenulls=True).alias("words"), F.sum(F.when(F.col("b").isNotNull(), F.col("size")).otherwise(0)).alias("licensed")
+        ).select("file_id", "path", F.coalesce("w.template", F.substring_index("b.template", "#", 1)).alias("license"), F.coalesce(-F.col("w.s"), -F.col("b.s")).alias("score"), (F.col("w").isNotNull() | licensed).alias("is_file"))
     )
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     given = own.where("is_file and path like '%/%'").groupBy(parent.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("g"))

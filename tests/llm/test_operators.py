@@ -286,6 +286,21 @@ def test_license_frequencies_are_of_all_lines(spark):
     assert some[1].license is None
 
 
+def test_whole_licence_files(spark):
+    """A licence's full text, with a holder's line, is a licence file and gives its licence to the files beside and below."""
+    folder = os.path.join(os.path.dirname(licenses.__file__), "licence_texts")
+    names = sorted(n.removesuffix(".txt") for n in os.listdir(folder))
+    assert {"MIT", "Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(names)
+    rows, want = [], {}
+    for i, name in enumerate(names):
+        with open(os.path.join(folder, f"{name}.txt")) as f:
+            text = "Copyright (c) 2021 Example Corp.\n\n" + f.read()
+        rows += [(3 * i, f"{name}/LICENSE", text), (3 * i, f"{name}/LICENSE", text), (3 * i + 1, f"{name}/src/x", "int main one two"), (3 * i + 2, f"other{i}/x", "some words, you may use the software freely")]
+        want |= {3 * i: (name, "file"), 3 * i + 1: (name, "inherited"), 3 * i + 2: (None, None)}
+    got = licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()
+    assert len(got) == len(rows) and {r.file_id: (r.license, r.origin) for r in got} == want
+
+
 def brute_cost(roles):
     """The least cost over all repairs, by trying every one."""
 
