@@ -3,8 +3,9 @@
 A text is the list of its words (runs without white space).  A window of K = 4 words, each of them an inner substring
 of s = 1 word, is a closed syncmer when its smallest word hash is at an edge; whether it is depends on the window
 alone, so that edits elsewhere move no anchor.  The fingerprint is the 64 smallest distinct anchor hashes of 31 bits,
-as hex; a text of fewer than K words has one anchor, the hash of all of them.  The likeness of two fingerprints is the
-Dice coefficient that the smallest hashes of their union estimate; two empty texts have 1.
+as hex; a text of fewer than K words has one anchor, the hash of all of them.  The likeness of two texts is the Dice
+coefficient of all their anchors, in which the k-th occurrence of an anchor in one text matches the k-th in the other;
+two empty texts have 1.  The order of different anchors does not count.
 
 ``next`` is the next document in descending doc_id order (null ids last, equal ids by a hash of the text; after the
 last comes the first).  Rows repeated with id and text count as one document there and get equal results.  The order
@@ -48,27 +49,39 @@ def syncmers(text):
     )
 
 
-def sketch(text):
-    """The smallest distinct anchor hashes of a text, ascending."""
+def anchors(text):
+    """The hashes of all anchors of a text, ascending, each as often as it occurs."""
     return _let(
         _hashes(text),
         lambda h: F.when(
             F.size(h) >= K,
-            F.slice(F.sort_array(F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _anchor(h, i))))), 1, SIZE),
+            F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _anchor(h, i)))),
         ).otherwise(F.when(F.size(h) > 0, F.array(F.shiftrightunsigned(F.xxhash64(h), 33).cast("int"))).otherwise(F.array().cast("array<int>"))),
     )
 
 
+def sketch(hashes):
+    """The smallest distinct hashes of ``anchors``, ascending: the printed digest."""
+    return F.slice(F.array_distinct(hashes), 1, SIZE)
+
+
+def numbered(hashes):
+    """The hashes of ``anchors`` as distinct numbers: the k-th occurrence of a hash is hash * 2**32 + k, k from 0."""
+    starts = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+    run = lambda h, at: F.flatten(
+        F.transform(at, lambda i, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(h)) - i - 1), lambda k: F.shiftleft(F.get(h, i).cast("long"), 32) + k))
+    )
+    return _let(hashes, lambda h: F.when(F.size(h) > 0, _let(starts(h), lambda at: run(h, at))).otherwise(F.array().cast("array<long>")))
+
+
 def as_text(numbers):
     return F.array_join(F.transform(numbers, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def likeness(a, b):
-    """0 to 1 from two sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    shared = F.size(F.array_intersect(union, F.array_intersect(a, b))).cast("double")
-    j = F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.greatest(F.size(union), F.lit(1)))
-    return 2 * j / (1 + j)
+    """0 to 1: the Dice coefficient of all anchors, from two arrays of ``numbered``."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / F.greatest(total, F.lit(1)))
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -98,7 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keyed = docs.select(nul.alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("kid"), F.xxhash64(text).alias("xh"), text.alias("text"))
     keys = checkpoint(keyed.groupBy("nul", "kid", "xh").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("copies")))
     unique = keys.where("copies > 1").isEmpty()
-    base = keyed.withColumn("fp", sketch(F.col("text")))
+    base = keyed.withColumn("fp", anchors(F.col("text")))
     before = base.join(following(keys.drop("copies")), ["nul", "kid", "xh"]).select(
         F.col("p_nul").alias("nul"), F.col("p_kid").alias("kid"), F.col("p_xh").alias("xh"), F.expr("left(text, need)").alias("head"), F.col("fp").alias("next_fp")
     )
@@ -107,11 +120,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     both = base.join(before, ["nul", "kid", "xh"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), "head"))
     done = both.select(
-        F.when(~F.col("nul"), F.col("kid")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", sketch(F.col("edited")).alias("ed_fp")
+        F.when(~F.col("nul"), F.col("kid")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", anchors(F.col("edited")).alias("ed_fp")
+    )
+    full = done.select(
+        "doc_id", "n_chars", "edited_sha256", as_text(sketch(F.col("fp"))).alias("fingerprint"), as_text(sketch(F.col("ed_fp"))).alias("edited_fingerprint"),
+        numbered(F.col("fp")).alias("a"), numbered(F.col("ed_fp")).alias("b"), numbered(F.col("next_fp")).alias("c"),
     )
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("ed_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("ed_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    return full.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next")
     )
 
 

@@ -255,6 +255,23 @@ def test_fingerprints(docs, rows, odd, none):
     assert fingerprint.fingerprints(odd).count() == 5 and fingerprint.fingerprints(none).count() == 0
 
 
+def test_likeness_is_of_all_anchors(spark):
+    """Long texts and repeated anchors, against the syncmers counted one by one."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(3000)}" for _ in range(3000)]
+    near = [*long[:1500], "one", "two", "three", *long[1503:]]
+    texts = [(3, " ".join(long)), (2, " ".join(near)), (1, "a b c d e f g " * 50), (0, "a b c d e f g " * 20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    count = {r.doc_id: Counter(s.hash for s in r.s) for r in docs.select("doc_id", fingerprint.syncmers(fingerprint.F.col("text")).alias("s")).collect()}
+    dice = lambda a, b: 2 * (a & b).total() / (a.total() + b.total())
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    for a, b in ((3, 2), (2, 1), (1, 0), (0, 3)):
+        assert abs(got[a].near_next - dice(count[a], count[b])) < 1e-12
+    assert 0.9 < got[3].near_next < 1 and got[1].near_next < 0.7 and len(got[3].fingerprint) == 64 * 8
+
+
 def test_syncmers_are_closed(spark):
     text = " ".join(f"w{i % 17}" for i in range(60))
     df = spark.createDataFrame([(text,)], "text string").select(fingerprint.syncmers(fingerprint.F.col("text")).alias("s"), fingerprint.F.transform(fingerprint.F.split("text", " "), lambda w: fingerprint.F.xxhash64(w)).alias("h"))
