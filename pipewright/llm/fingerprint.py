@@ -3,7 +3,7 @@
 A text is the list of its words (runs without white space).  A window of K = 4 words, each of them an inner substring
 of s = 1 word, is a closed syncmer when its smallest word hash is at an edge; whether it is depends on the window
 alone, so that edits elsewhere move no anchor.  The fingerprint is the 64 smallest distinct anchor hashes of 31 bits,
-as hex; a text of fewer than K words has one anchor, the hash of all of them.  The likeness of two texts is the Dice
+as hex; a text without a closed syncmer, as any of fewer than K words, has one anchor, the hash of all its words.  The likeness of two texts is the Dice
 coefficient of all their anchors, in which the k-th occurrence of an anchor in one text matches the k-th in the other;
 two empty texts have 1.  The order of different anchors does not count.
 
@@ -51,13 +51,10 @@ def syncmers(text):
 
 def anchors(text):
     """The hashes of all anchors of a text, ascending, each as often as it occurs."""
-    return _let(
-        _hashes(text),
-        lambda h: F.when(
-            F.size(h) >= K,
-            F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _anchor(h, i)))),
-        ).otherwise(F.when(F.size(h) > 0, F.array(F.shiftrightunsigned(F.xxhash64(h), 33).cast("int"))).otherwise(F.array().cast("array<int>"))),
-    )
+    none = F.array().cast("array<int>")
+    found = lambda h: F.when(F.size(h) >= K, F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _anchor(h, i))))).otherwise(none)
+    whole = lambda h: F.when(F.size(h) > 0, F.array(F.shiftrightunsigned(F.xxhash64(h), 33).cast("int"))).otherwise(none)
+    return _let(_hashes(text), lambda h: _let(found(h), lambda a: F.when(F.size(a) > 0, a).otherwise(whole(h))))
 
 
 def sketch(hashes):

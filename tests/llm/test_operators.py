@@ -272,6 +272,19 @@ def test_likeness_is_of_all_anchors(spark):
     assert 0.9 < got[3].near_next < 1 and got[1].near_next < 0.7 and len(got[3].fingerprint) == 64 * 8
 
 
+def test_short_texts_have_an_anchor(spark):
+    """Of 4 and 5 words many have no closed syncmer; only empty texts have no fingerprint."""
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.sample(WORDS, 4 + i % 2))) for i in range(60)] + [(60, ""), (61, None), (62, "  ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bare = {r.doc_id for r in docs.select("doc_id", fingerprint.syncmers(fingerprint.F.col("text")).alias("s")).collect() if not r.s}
+    assert {i % 2 for i in bare if i < 60} == {0, 1}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    assert {i for i, r in got.items() if not r.fingerprint} == {60, 61, 62}
+    assert got[62].near_next == got[61].near_next == 1 and got[60].near_next == 0
+    assert all(got[i].near_next == 0 for i in bare if 0 < i < 60)
+
+
 def test_syncmers_are_closed(spark):
     text = " ".join(f"w{i % 17}" for i in range(60))
     df = spark.createDataFrame([(text,)], "text string").select(fingerprint.syncmers(fingerprint.F.col("text")).alias("s"), fingerprint.F.transform(fingerprint.F.split("text", " "), lambda w: fingerprint.F.xxhash64(w)).alias("h"))
