@@ -24,7 +24,7 @@ from pipewright.lang.interp import Env, run
 from pipewright.lang.modules import find, load
 from pipewright.lang.parser import SyntaxProblem, parse
 from pipewright.lang.printer import format_program, to_json
-from pipewright.lang.values import FilterError, dumps
+from pipewright.lang.values import FilterError, Halt, dumps
 from pipewright.operators.dynamic import apply_json
 from pipewright.sources import files
 from pipewright.sources.formats import SEPARATORS, canonical, decode, encode
@@ -129,8 +129,11 @@ def one_cursor(o, docs, program, variables, modules, writer) -> int:
     tree, env = load(program, modules, variables)
     try:
         for value in [None] if o.null_input else source:
-            for x in run(tree, value, Env(env.vars, env.funcs, {"inputs": source})):
+            for x in run(tree, value, Env(env.vars, env.funcs, {"inputs": source, "env": os.environ, "modules": modules})):
                 writer.put(x)
+    except Halt as e:
+        sys.stderr.write(e.message)
+        return e.status
     except (FilterError, RecursionError) as e:
         return _fail(e, 5)
     return status[0]
@@ -141,10 +144,13 @@ def distributed(o, docs, program, variables, modules, writer) -> int:
     good = docs.where("error is null")
     if o.stream:
         good = apply_json(good.select("place", "file", "doc", "value"), "tostream", keep=("place", "file", "doc")).select("place", "file", F.struct("doc", "pos").alias("doc"), F.col("output").alias("value"))
-    out, status = apply_json(good, program, keep=("place", "file", "doc"), variables=variables, errors="keep", modules=modules), 0
+    out, status = apply_json(good, program, keep=("place", "file", "doc"), variables=variables, errors="keep", modules=modules, file="file", line=None if o.stream else "doc"), 0
     if o.output:
         files.write(out.where("error is null").withColumnRenamed("output", "value"), o.output, o.target)
-        return 0
+        for bad, code in ((out, 5), (docs, 4)):
+            for r in bad.where("error is not null").agg(F.count("*").alias("n"), F.min("error").alias("error")).where("n > 0").collect():
+                status = _fail(f"{r.n} times: {r.error}", code)
+        return status
     for r in out.orderBy("place", "file", "doc", "pos").toLocalIterator():
         if r.error is not None:
             status = _fail(r.error, 5)
@@ -164,7 +170,8 @@ def execute(spark: SparkSession, o, program: str, names: list[str], variables: d
         return _fail(e, 3)
     writer = Writer(o, stream)
     docs = None if o.null_input and not names else documents(spark, o, names)
-    alone = o.null_input or o.slurp or '"input' in dumps(to_json(tree))
+    words = dumps(to_json(tree))
+    alone = o.null_input or o.slurp or '"input"' in words or '"inputs"' in words or '"halt' in words  # halt stops everything
     status = (one_cursor if alone else distributed)(o, docs, program, variables, modules, writer)
     if o.exit_status and not status:
         status = 4 if not writer.count else int(writer.last is None or writer.last is False)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from .interp import Env
 from .parser import SyntaxProblem, _Parser, tokens
+from .values import FilterError
 
 
 def find(search: list[str]) -> dict[str, str]:
@@ -67,6 +68,31 @@ def load(program: str, modules: dict[str, str] | None = None, variables: dict |
     return _Parser(rest).program(), env
 
 
+def described(name: str, modules: dict[str, str]) -> dict:
+    """What a module says of itself: its metadata, what it imports (deps) and what it defines (defs)."""
+    from .interp import evaluate
+
+    if name not in modules:
+        raise FilterError(f"module {name!r} not found")
+    toks = tokens(modules[name])
+    out, deps, i = {}, [], 0
+    while toks[i][0] == "id" and toks[i][1] in ("module", "import", "include"):
+        end = next(k for k in range(i, len(toks)) if toks[k] == ("op", ";"))
+        word, rest = toks[i][1], toks[i + 1 : end]
+        head = [] if word == "module" else rest[:1]
+        rest = rest[len(head) :]
+        alias = rest[1][1].lstrip("$") if rest[:1] == [("id", "as")] else head[0][1][0] if head else None
+        data = rest[:1] == [("id", "as")] and rest[1][0] == "var"
+        rest = rest[2:] if rest[:1] == [("id", "as")] else rest
+        given = evaluate(_Parser([*rest, ("eof", "")]).program())[0] if rest else {}
+        if word == "module":
+            out |= given
+        else:
+            deps.append({**given, "as": alias, "is_data": data, "relpath": head[0][1][0]})
+        i = end + 1
+    return {**out, "deps": deps, "defs": [f"{n}/{k}" for n, k in definitions(modules[name], modules)]}
+
+
 def definitions(text: str, modules: dict[str, str] | None = None, open_: tuple[str, ...] = ()) -> dict:
     """The functions that a module's text defines."""
     tree, env = load(text, modules, None, open_)

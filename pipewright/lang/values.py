@@ -14,6 +14,18 @@ class FilterError(Exception):
         self.value = value
 
 
+class Halt(Exception):
+    """The program stops: its exit status, and the value that goes to standard error (None: nothing)."""
+
+    def __init__(self, status: int, value):
+        super().__init__(f"halted with status {status}")
+        self.status, self.value = status, value
+
+    @property
+    def message(self) -> str:
+        return "" if self.value is None and not self.status else self.value if isinstance(self.value, str) else dumps(self.value) + "\n"
+
+
 def kind(v) -> str:
     if v is None:
         return "null"
@@ -77,11 +89,6 @@ def dumps(v, sort: bool = False) -> str:
     return json.dumps(v, ensure_ascii=False)
 
 
-def normal(v):
-    """Parsed JSON with integral floats as they are and nothing else changed."""
-    return v
-
-
 def loads(text: str):
     try:
         return json.loads(text)

@@ -14,7 +14,7 @@ CASES = [('.a.b',{'a':{'b':3}},[3]),('[.[]|select(.>1)]',[1,2,3],[[2,3]]),('map(
 ('label $f | range(10) | ., (select(.==1)|break $f)',None,[0,1]),('[.[]?//1]',None,[[1]]),('walk(if type=="number" then .+1 else . end)',[1,{'a':2}],[[2,{'a':3}]]),('tostream',{'a':1},[[['a'],1],[['a']]]),('fromstream(tostream)',{'a':[1,2]},[{'a':[1,2]}]),
 ('[combinations]',[[1,2],[3,4]],[[[1,3],[1,4],[2,3],[2,4]]]),('.[1:]',[1,2,3],[[2,3]]),('.[-1:]','abc',['c']),('pick(.a)',{'a':1,'b':2},[{'a':1}]),('INDEX(.id)',[{'id':1}],[{'1':{'id':1}}]),('.. |= (if type=="number" then .+1 else . end)',[1,[2]],[[2,[3]]]),
 ('[.[]|if .==1 then "a" elif .==2 then "b" else "c" end]',[1,2,3],[['a','b','c']]),('splits(", *")','a, b',['a','b']),('strftime("%Y-%m-%d")',0,['1970-01-01']),('. as {a:$x,b:[$y]} ?// [$x,$y] | [$x,$y]',[1,2],[[1,2]]),('limit(0;1)',None,[]),('[.[]|tostring]',[1,'a',[1]],[['1','a','[1]']]),
-('ltrimstr("a")','ab',['b']),('min_by(.a)',[{'a':2},{'a':1}],[{'a':1}]),('unique',[2,1,2],[[1,2]]),('any(.>2)',[1,3],[True]),('.a += 1 | .b = 2',{'a':1},[{'a':2,'b':2}]),('-(1)|-.',None,[1]),('{a:1|.+1}',None,[{'a':2}]),('{(.x):1, "b c":2, $__loc__}|keys|length',{'x':'q'},[3]),('env|type',None,['object']),('isvalid(error)',1,[False]),('[range(0;10;3)]',None,[[0,3,6,9]]),('ascii_upcase','aé',['Aé']),('1 as $x | 2 as $y | [$x,$y]',None,[[1,2]]),('input',None,[7])]
+('ltrimstr("a")','ab',['b']),('min_by(.a)',[{'a':2},{'a':1}],[{'a':1}]),('unique',[2,1,2],[[1,2]]),('any(.>2)',[1,3],[True]),('.a += 1 | .b = 2',{'a':1},[{'a':2,'b':2}]),('-(1)|-.',None,[1]),('{a:1|.+1}',None,[{'a':2}]),('{(.x):1, "b c":2, $__loc__}|keys|length',{'x':'q'},[3]),('env|type',None,['object']),('[range(0;10;3)]',None,[[0,3,6,9]]),('ascii_upcase','aé',['Aé']),('1 as $x | 2 as $y | [$x,$y]',None,[[1,2]]),('input',None,[7])]
 
 
 @pytest.mark.parametrize("program, value, want", CASES, ids=[c[0] for c in CASES])
