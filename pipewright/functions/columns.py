@@ -24,20 +24,92 @@ class Scope:
     fields: dict[str, Column] | None = None
     value: Column | None = None
     vars: dict[str, Column] = field(default_factory=dict)
+    #: the type of a column as Spark's analyser finds it; None where it cannot (lambda variables)
+    probe: Callable[[Column], object] | None = None
+    #: the two columns of a pair [row, what it is joined with]
+    pair: tuple[Column, Column] | None = None
+    value_is_lambda: bool = False
 
     def at(self, value: Column) -> Scope:
-        return replace(self, fields=None, value=value)
+        return replace(self, fields=None, value=value, pair=None)
+
+    def inside(self, item: Column, source: Column | None = None) -> Scope:
+        """The scope of a function over the elements of ``source``."""
+        whole = self.probe(source) if self.probe and source is not None else None
+        kind = whole.elementType if whole is not None and whole.typeName() == "array" else None
+        return replace(self, fields=None, value=item, pair=None, value_is_lambda=True, probe=lambda c: kind if c is item else None)
+
+    def type_of(self, c: Column) -> str:
+        """string, array, map, struct, number, boolean or "" where it is not known."""
+        found = self.probe(c) if self.probe else None
+        name = found.typeName() if found is not None else ""
+        return "number" if name in ("long", "integer", "short", "byte", "double", "float", "decimal") else name
+
+
+def probe_of(df) -> Callable[[Column], object]:
+    from pyspark.errors import PySparkException
+
+    def probe(c: Column):
+        try:
+            return df.select(c).schema[0].dataType
+        except PySparkException:
+            return None
+
+    return probe
 
 
 _ARITH: dict[str, Callable] = {
-    "+": lambda a, b: a + b,
+    "+": lambda a, b: F.coalesce(a + b, a, b),  # null is its identity
     "-": lambda a, b: a - b,
     "*": lambda a, b: a * b,
     "/": lambda a, b: a / b,
     # the remainder of whole parts; its sign is the dividend's
     "%": lambda a, b: a.cast("long") % b.cast("long"),
 }
-_TEST = {"==": Column.eqNullSafe, "!=": lambda a, b: ~a.eqNullSafe(b), "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
+def _test(op: str, t, s: Scope) -> Column:
+    """A comparison for a filter: null is the least value, and what is not true may be null.  Plain where it can be, so
+    that it reaches the scan."""
+    a, b = compile_column(t[2], s), compile_column(t[3], s)
+    if op in ("==", "!="):
+        return a.eqNullSafe(b) if op == "==" else ~a.eqNullSafe(b)
+    if op in (">", ">="):
+        a, b, left, right = b, a, t[3], t[2]
+    else:
+        left, right = t[2], t[3]
+    sure = [x[0] == "literal" and x[1] is not None for x in (left, right)]
+    strict = op in ("<", ">")
+    plain = a < b if strict else a <= b
+    if sure[0]:  # a value is never below null
+        return plain
+    return plain | (a.isNull() if sure[1] or not strict else a.isNull() & b.isNotNull())
+
+
+def truth(t, s: Scope) -> Column:
+    """Whether a filter's output is true (neither null nor false), for a filter of rows: null stands for no."""
+    if t[0] == "compare":
+        return _test(t[1], t, s)
+    if t[0] == "logic":
+        a, b = truth(t[2], s), truth(t[3], s)
+        return a & b if t[1] == "and" else a | b
+    if t[0] == "literal":
+        return F.lit(t[1] is not None and t[1] is not False)
+    c = compile_column(t, s)
+    if t[0] == "call" and t[1] in BOOLEAN:
+        return c
+    if t[0] == "pipe" and t[2][0] == "call" and t[2][1] in BOOLEAN:
+        return c
+    return _truthy(c)
+
+
+def _truthy(c: Column) -> Column:
+    """Of a column of any type: only a boolean can be false.  The type test is a constant of the plan."""
+    return F.when(F.typeof(c) == F.lit("boolean"), F.coalesce(c.cast("string") == F.lit("true"), F.lit(False))).otherwise(c.isNotNull())
+
+
+#: calls whose output is a boolean
+BOOLEAN = {"not", "test", "startswith", "endswith", "contains", "has", "any", "all", "isnan", "isinfinite", "isnormal"}
 
 
 def _text_op(name):
@@ -70,7 +142,7 @@ def _format(name: str, c: Column) -> Column:
 
 #: name -> column function of the input alone
 UNARY: dict[str, Callable[[Column], Column]] = {
-    "length": None, "not": lambda c: ~F.coalesce(c, F.lit(False)), "floor": F.floor, "ceil": F.ceil, "sqrt": F.sqrt, "abs": F.abs, "fabs": F.abs,
+    "length": None, "not": lambda c: ~_truthy(c), "floor": F.floor, "ceil": F.ceil, "sqrt": F.sqrt, "abs": F.abs, "fabs": F.abs,
     "round": F.round, "exp": F.exp, "exp2": lambda c: F.pow(F.lit(2.0), c), "exp10": lambda c: F.pow(F.lit(10.0), c), "log": F.log, "log2": F.log2, "log10": F.log10,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
     "cbrt": F.cbrt, "trunc": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), "rint": F.rint, "log1p": F.log1p, "expm1": F.expm1,
@@ -78,14 +150,14 @@ UNARY: dict[str, Callable[[Column], Column]] = {
     "ascii_upcase": lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     "utf8bytelength": F.octet_length, "tostring": lambda c: c.cast("string"), "tonumber": lambda c: c.cast("double"),
     "trim": lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), "ltrim": lambda c: F.regexp_replace(c, r"(?U)^\s+", ""), "rtrim": lambda c: F.regexp_replace(c, r"(?U)\s+$", ""),
-    "sort": F.sort_array, "min": F.array_min, "max": F.array_max, "unique": lambda c: F.sort_array(F.array_distinct(c)), "reverse": F.reverse, "flatten": F.flatten,
+    "sort": F.sort_array, "min": lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.array_min(c)), "max": F.array_max, "unique": lambda c: F.sort_array(F.array_distinct(c)), "reverse": F.reverse, "flatten": F.flatten,
     "keys": lambda c: F.sort_array(F.map_keys(c)), "to_entries": F.map_entries, "from_entries": F.map_from_entries, "tojson": F.to_json,
     "md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512),
     "mktime": F.unix_timestamp, "fromdate": lambda c: F.unix_timestamp(F.to_timestamp(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
     "todate": lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
     "isnan": F.isnan, "null": lambda c: F.lit(None), "true": lambda c: F.lit(True), "false": lambda c: F.lit(False), "infinite": lambda c: F.lit(float("inf")), "nan": lambda c: F.lit(float("nan")),
     "first": lambda c: F.get(c, F.lit(0)), "last": lambda c: F.try_element_at(c, F.lit(-1)), "explode": lambda c: F.transform(F.split(c, ""), lambda x: F.ascii(x)),
-    "add": lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x), "any": lambda c: F.exists(c, lambda x: F.coalesce(x, F.lit(False))), "all": lambda c: F.forall(c, lambda x: F.coalesce(x, F.lit(False))),
+    "add": None, "any": lambda c: F.exists(c, _truthy), "all": lambda c: F.forall(c, _truthy),
 }
 
 #: strftime letters as Java patterns
@@ -112,13 +184,11 @@ def _literal_text(tree) -> str:
     raise NotLowered("an argument that is no literal string")
 
 
-def _truth(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
 def compile_column(t, s: Scope) -> Column:
     kind = t[0]
     if kind == "identity":
+        if s.pair is not None:
+            return F.array(*s.pair)
         if s.value is None:
             return F.struct(*(c.alias(n) for n, c in s.fields.items()))
         return s.value
@@ -131,7 +201,12 @@ def compile_column(t, s: Scope) -> Column:
             if t[2][1] not in s.fields:
                 raise NotLowered(f"no field {t[2][1]}")
             return s.fields[t[2][1]]
-        return compile_column(t[1], s).getField(t[2][1])
+        base = compile_column(t[1], s)
+        if s.type_of(base) == "variant":
+            return F.variant_get(base, '$["' + t[2][1].replace('"', '\\"') + '"]', "variant")
+        return base.getField(t[2][1])
+    if kind == "index" and s.pair is not None and t[1] == ("identity",):
+        return s.pair[t[2][1]] if t[2] in (("literal", 0), ("literal", 1)) else F.lit(None)
     if kind == "index":
         base, key = compile_column(t[1], s), t[2]
         if key[0] == "literal" and isinstance(key[1], str):
@@ -145,18 +220,18 @@ def compile_column(t, s: Scope) -> Column:
         return -compile_column(t[1], s)
     if kind == "binary":
         a, b = compile_column(t[2], s), compile_column(t[3], s)
-        if t[1] == "+" and any(_stringy(x) for x in (t[2], t[3])):
-            return F.concat(a, b)
+        if t[1] == "+" and (any(_stringy(x) for x in (t[2], t[3])) or s.type_of(a) in ("string", "array")):
+            return F.coalesce(F.concat(a, b), a, b)
         return _ARITH[t[1]](a, b)
     if kind == "compare":
-        return _TEST[t[1]](compile_column(t[2], s), compile_column(t[3], s))
+        return F.coalesce(_test(t[1], t, s), F.lit(False))
     if kind == "logic":
-        a, b = (_truth(compile_column(x, s)) for x in t[2:4])
-        return a & b if t[1] == "and" else a | b
+        return F.coalesce(truth(t, s), F.lit(False))
     if kind == "alt":
-        return F.coalesce(compile_column(t[1], s), compile_column(t[2], s))
+        left = compile_column(t[1], s)
+        return F.when(_truthy(left), left).otherwise(compile_column(t[2], s))
     if kind == "if":
-        return F.when(compile_column(t[1], s), compile_column(t[2], s)).otherwise(compile_column(t[3], s))
+        return F.when(truth(t[1], s), compile_column(t[2], s)).otherwise(compile_column(t[3], s))
     if kind == "pipe":
         return compile_column(t[2], s.at(compile_column(t[1], s)))
     if kind == "object":
@@ -164,7 +239,7 @@ def compile_column(t, s: Scope) -> Column:
     if kind == "array":
         return F.array() if t[1] is None else compile_many(t[1], s)
     if kind == "string":
-        parts = [F.lit(p) if isinstance(p, str) else compile_column(p, s).cast("string") for p in t[2]]
+        parts = [F.lit(p) if isinstance(p, str) else _text(compile_column(p, s), s) for p in t[2]]
         if t[1] is not None:
             parts = [p if isinstance(q, str) else _format(t[1], p) for p, q in zip(parts, t[2], strict=True)]
         return F.concat(*parts)
@@ -178,9 +253,7 @@ def compile_column(t, s: Scope) -> Column:
         return compile_column(t[3], replace(s, vars={**s.vars, t[2][0][1]: compile_column(t[1], s)}))
     if kind == "reduce" and t[2][0][0] == "var":
         name = t[2][0][1]
-        return F.aggregate(compile_many(t[1], s), compile_column(t[3], s), lambda a, x: compile_column(t[4], replace(s.at(a), vars={**s.vars, name: x})))
-    if kind == "try" and t[2] is None:
-        return compile_column(t[1], s)
+        return F.aggregate(compile_many(t[1], s), compile_column(t[3], s), lambda a, x: compile_column(t[4], replace(s.inside(a), vars={**s.vars, name: x})))
     if kind == "call":
         return _call(t, s)
     raise NotLowered(kind)
@@ -191,15 +264,20 @@ def _stringy(t) -> bool:
 
 
 def _slice(t, s):
+    """From the floor of the start to the ceiling of the end; negative ones count from the end; both are clamped."""
     base = compile_column(t[1], s)
-    low = compile_column(t[2], s) if t[2] else F.lit(0)
-    if t[3] is None:
-        high = F.greatest(F.length(base) if _texty(t[1]) else F.size(base), low)
-    else:
-        high = compile_column(t[3], s)
-    if _texty(t[1]):
-        return F.substring(base, low + 1, high - low)
-    return F.slice(base, low + 1, F.greatest(high - low, F.lit(0)))
+    text = _texty(t[1]) or s.type_of(base) == "string"
+    size = F.char_length(base) if text else F.size(base)
+
+    def bound(x, otherwise, whole):
+        if x is None:
+            return otherwise
+        c = whole(compile_column(x, s)).cast("int")
+        return F.least(F.greatest(F.when(c < 0, c + size).otherwise(c), F.lit(0)), size)
+
+    low, high = bound(t[2], F.lit(0), F.floor), bound(t[3], size, F.ceil)
+    count = F.greatest(high - low, F.lit(0))
+    return F.substring(base, low + 1, count) if text else F.slice(base, low + 1, count)
 
 
 def _texty(t) -> bool:
@@ -212,10 +290,14 @@ def _call(t, s: Scope) -> Column:
     here = lambda: compile_column(("identity",), s)
     arg = lambda i: compile_column(args[i], s)
     n = len(args)
-    if n == 0 and name in UNARY and name != "length":
+    if n == 0 and name in ("keys", "to_entries", "from_entries") and (s.value is None or s.type_of(here()) not in ("map", "array", "")):
+        raise NotLowered(f"{name} of a record")
+    if n == 0 and name in UNARY and name not in ("length", "add", "tostring", "tojson"):
         return UNARY[name](here())
-    if name == "length" and n == 0:
-        raise NotLowered("length of an unknown kind: use string_length or array_length")
+    if name in ("tostring", "tojson") and n == 0:
+        return (_text if name == "tostring" else _json)(here(), s)
+    if name in ("length", "add") and n == 0:
+        return (_length if name == "length" else _added)(here(), s)
     if name in ("string_length", "array_length") and n == 0:
         return F.char_length(here()) if name[0] == "s" else F.size(here())
     if name == "map" and n == 1:
@@ -229,6 +311,8 @@ def _call(t, s: Scope) -> Column:
         if name == "endswith":
             return F.endswith(here(), arg(0))
         if name == "contains":
+            if s.type_of(here()) not in ("string", ""):
+                raise NotLowered("contains of a container")
             return F.contains(here(), arg(0))
         if name == "split":
             sep = _literal_text(args[0])
@@ -239,7 +323,11 @@ def _call(t, s: Scope) -> Column:
             return F.when(F.startswith(here(), arg(0)), F.substring(here(), F.length(arg(0)) + 1, F.length(here()))).otherwise(here())
         if name == "rtrimstr":
             return F.when(F.endswith(here(), arg(0)), F.substring(here(), F.lit(1), F.length(here()) - F.length(arg(0)))).otherwise(here())
+        if name == "has" and s.value is None and s.fields is not None and args[0][0] == "literal":
+            return F.lit(args[0][1] in s.fields)
         if name == "has":
+            if s.type_of(here()) not in ("map", "array", ""):
+                raise NotLowered("has of another kind")
             return F.map_contains_key(here(), arg(0)) if args[0][0] == "literal" and isinstance(args[0][1], str) else F.size(here()) > arg(0)
         if name == "index":
             return F.nullif(F.instr(here(), _literal_text(args[0])) - 1, F.lit(-1))
@@ -259,9 +347,11 @@ def _call(t, s: Scope) -> Column:
         if name == "nth":
             return F.get(here(), arg(0))
     if name == "any" and n == 1:
-        return F.exists(here(), lambda x: _truth(compile_column(args[0], s.at(x))))
+        return F.exists(here(), lambda x: F.coalesce(truth(args[0], s.inside(x, here())), F.lit(False)))
     if name == "all" and n == 1:
-        return F.forall(here(), lambda x: _truth(compile_column(args[0], s.at(x))))
+        return F.forall(here(), lambda x: F.coalesce(truth(args[0], s.inside(x, here())), F.lit(False)))
+    if name == "fromjson" and n == 0:
+        return F.parse_json(here())
     if name == "fromjson_path" and n == 1:
         return F.get_json_object(here(), _literal_text(args[0]))
     if name in ("first", "last") and n == 1:
@@ -272,6 +362,51 @@ def _call(t, s: Scope) -> Column:
     raise NotLowered(f"{name}/{n}")
 
 
+def _json(c: Column, s: Scope) -> Column:
+    """JSON text of a column; doubles, whose text Spark forms otherwise, are left to the dynamic tier."""
+    found = s.probe(c) if s.probe else None
+    if found is None or any(x in found.simpleString() for x in ("double", "float", "decimal", "timestamp", "date")):
+        raise NotLowered("the text of a number")
+    if found.typeName() == "variant":
+        return F.coalesce(F.to_json(c), F.lit("null"))
+    if found.typeName() in ("long", "integer", "short", "byte", "boolean"):
+        return F.coalesce(c.cast("string"), F.lit("null"))
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
+def _text(c: Column, s: Scope) -> Column:
+    return c if s.type_of(c) == "string" else _json(c, s)
+
+
+def _length(c: Column, s: Scope) -> Column:
+    kind = s.type_of(c)
+    if kind == "string":
+        return F.coalesce(F.char_length(c), F.lit(0))
+    if kind in ("array", "map"):
+        return F.when(c.isNull(), F.lit(0)).otherwise(F.size(c))
+    if kind == "number":
+        return F.coalesce(F.abs(c), F.lit(0))
+    if kind == "struct":
+        return F.when(c.isNull(), F.lit(0)).otherwise(F.lit(len(s.probe(c).fields)))
+    raise NotLowered("length of an unknown kind: use string_length or array_length")
+
+
+def _added(c: Column, s: Scope) -> Column:
+    """The sum of an array, null of an empty one; strings and arrays are joined."""
+    found = s.probe(c) if s.probe else None
+    element = found.elementType.typeName() if found is not None and found.typeName() == "array" else "double"
+    if element == "string":
+        return F.when(F.size(c) > 0, F.array_join(c, ""))
+    if element == "array":
+        return F.when(F.size(c) > 0, F.flatten(c))
+    if element not in ("long", "integer", "short", "byte", "double", "float", "decimal"):
+        raise NotLowered(f"add of {element}")
+    whole = element in ("long", "integer", "short", "byte")
+    zero = F.lit(0).cast("long") if whole else F.lit(0.0)
+    some = F.exists(c, lambda x: x.isNotNull())
+    return F.when(some, F.aggregate(c, zero, lambda a, x: a + F.coalesce(x.cast("long" if whole else "double"), zero)))
+
+
 def _is_time(s: Scope) -> bool:
     return bool(s.vars.get("__time__") is not None)
 
@@ -292,24 +427,32 @@ def compile_many(t, s: Scope) -> Column:
     """An array column of all outputs."""
     kind = t[0]
     if kind == "comma":
-        return F.concat(compile_many(t[1], s), compile_many(t[2], s))
+        both = compile_many(t[1], s), compile_many(t[2], s)
+        if s.probe and not s.value_is_lambda:
+            kinds = [x.elementType.simpleString() if (x := s.probe(c)) is not None else "" for c in both]
+            if kinds[0] != kinds[1] and "void" not in kinds and any(kinds):
+                raise NotLowered("an array of several types")
+        return F.concat(*both)
     if kind == "iterate":
         return compile_column(t[1], s)
     if kind == "pipe":
         left, right = t[1], t[2]
         if right[0] == "call" and right[1] == "select" and len(right[2]) == 1:
-            return F.filter(compile_many(left, s), lambda x: _truth(compile_column(right[2][0], s.at(x))))
+            many = compile_many(left, s)
+            return F.filter(many, lambda x: F.coalesce(truth(right[2][0], s.inside(x, many)), F.lit(False)))
         if _single(left):
             return compile_many(right, s.at(compile_column(left, s)))
         if _single(right):
-            return F.transform(compile_many(left, s), lambda x: compile_column(right, s.at(x)))
-        return F.flatten(F.transform(compile_many(left, s), lambda x: compile_many(right, s.at(x))))
+            many = compile_many(left, s)
+            return F.transform(many, lambda x: compile_column(right, s.inside(x, many)))
+        many = compile_many(left, s)
+        return F.flatten(F.transform(many, lambda x: compile_many(right, s.inside(x, many))))
     if kind == "call" and t[1] == "range":
         low, high = (F.lit(0), compile_column(t[2][0], s)) if len(t[2]) == 1 else (compile_column(t[2][0], s), compile_column(t[2][1], s))
         return F.when(high > low, F.sequence(low.cast("long"), high.cast("long") - 1, F.lit(1).cast("long"))).otherwise(F.array().cast("array<long>"))
     if kind == "call" and t[1] == "select":
         here = compile_column(("identity",), s)
-        return F.filter(F.array(here), lambda x: _truth(compile_column(t[2][0], s.at(x))))
+        return F.filter(F.array(here), lambda x: F.coalesce(truth(t[2][0], replace(s, value=s.value) if s.value is None else s.inside(x)), F.lit(False)))
     if kind == "call" and t[1] == "empty":
         return F.array()
     if kind == "call" and t[1] == "limit":
@@ -319,7 +462,7 @@ def compile_many(t, s: Scope) -> Column:
         first = compile_column(t[3], s)
 
         def step(acc, x):
-            new = compile_column(t[4], replace(s.at(acc.getField("state")), vars={**s.vars, name: x}))
+            new = compile_column(t[4], replace(s.inside(acc.getField("state")), vars={**s.vars, name: x}))
             return F.struct(new.alias("state"), F.array_append(acc.getField("out"), new).alias("out"))
 
         return F.aggregate(compile_many(t[1], s), F.struct(first.alias("state"), F.slice(F.array(first), 1, 0).alias("out")), step, lambda acc: acc.getField("out"))

@@ -46,7 +46,14 @@ def _head(toks: list[tuple]):
 
 
 def load(program: str, modules: dict[str, str] | None = None, variables: dict | None = None, open_: tuple[str, ...] = ()):
-    """(tree, environment) of a program; a cycle of modules is an error."""
+    """(tree, environment) of a program; a cycle of modules is an error.
+
+    A program is text, a tree, or ("headed", directives, tree).
+    """
+    if not isinstance(program, str):
+        if program[0] != "headed":
+            return program, Env(vars=variables)
+        return program[2], load(program[1] + " .", modules, variables)[1]
     heads, rest = _head(tokens(program))
     env = Env(vars=variables)
     for word, path, alias in heads:

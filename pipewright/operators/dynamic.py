@@ -60,7 +60,7 @@ def deep(f, *args):
 
 
 def apply_json(
-    df: DataFrame, program: str, column: str = "value", keep: tuple[str, ...] = (), variables: dict | None = None, errors: str = "raise", modules: dict[str, str] | None = None,
+    df: DataFrame, program: str | tuple, column: str = "value", keep: tuple[str, ...] = (), variables: dict | None = None, errors: str = "raise", modules: dict[str, str] | None = None,
     file: str | None = None, line: str | None = None,
 ) -> DataFrame:
     """``keep`` columns, pos, output (JSON text) and error of the program on the JSON text in ``column``; null is null.
@@ -69,7 +69,8 @@ def apply_json(
     ``input_filename`` and ``input_line_number`` give.
     """
     load(program, modules, variables)  # syntax errors show on the driver
-    outside = dict(os.environ) if "env" in program or "ENV" in program else {}
+    named = program if isinstance(program, str) else repr(program)
+    outside = dict(os.environ) if "env" in named or "ENV" in named else {}
     places = {k: c for k, c in (("file", file), ("line", line)) if c}
 
     def work(batches):
@@ -140,14 +141,16 @@ def _all_read(trees) -> set[str] | None:
     return None if None in found else set().union(*found)
 
 
-def row_text(df: DataFrame, program: str, modules: dict[str, str] | None = None):
+def row_text(df: DataFrame, program: str | tuple, modules: dict[str, str] | None = None):
     """Each row as a JSON object with the columns that the program reads, all of them where that is not known."""
+    if df.columns == ["value"]:  # plain values, not objects
+        return F.regexp_extract(F.to_json(F.struct("value"), {"ignoreNullFields": "false"}), r'(?s)^\{"value":(.*)\}$', 1)
     read = fields_read(load(program, modules)[0])
     columns = df.columns if read is None else [c for c in df.columns if c in read]
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
 
 
-def apply_rows(df: DataFrame, program: str, keep: tuple[str, ...] = (), **options) -> DataFrame:
+def apply_rows(df: DataFrame, program: str | tuple, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """The same on whole rows, as JSON objects."""
     whole = row_text(df, program, options.get("modules")).alias("_json")
     return apply_json(df.select(*keep, whole), program, "_json", keep, **options)

@@ -12,7 +12,7 @@ from pipewright.operators.dynamic import apply_rows
 from pipewright.plans.lower import lower
 
 FLAGSHIP = """
-.[] | select(.l_quantity > 25) | {flag: .l_returnflag, status: .l_linestatus, price: .l_extendedprice, paid: (.l_extendedprice * (1 - .l_discount))}
+map(select(.l_quantity > 25) | {flag: .l_returnflag, status: .l_linestatus, price: .l_extendedprice, paid: (.l_extendedprice * (1 - .l_discount))})
 | group_by(.flag, .status)
 | map({flag: .[0].flag, status: .[0].status, n: length, total: (map(.price) | add), mean: (map(.paid) | add / length), top: (map(.price) | max)})
 """
@@ -31,8 +31,8 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "limit_skip": ("customer", "sort_by(.c_custkey) | limit(7; skip(3; .[])) | {c_custkey}", "select c_custkey from customer order by c_custkey limit 7 offset 3"),
     "first_row": ("customer", "sort_by(.c_name) | first | {c_name}", "select c_name from customer order by c_name limit 1"),
     "length_table": ("orders", "length", "select count(*) as value from orders"),
-    "add_table": ("orders", ".[] | {p: .o_totalprice} | add", "select round(sum(o_totalprice), 4) as value from orders"),
-    "min_table": ("orders", "map({p: .o_totalprice}) | min", "select round(min(o_totalprice), 4) as value from orders"),
+    "add_table": ("orders", "map(.o_totalprice) | add", "select round(sum(o_totalprice), 4) as value from orders"),
+    "min_table": ("orders", "map({p: .o_totalprice}) | min", "select round(min(o_totalprice), 4) as p from orders"),
     "any_table": ("orders", "any(.o_totalprice > 400000)", "select bool_or(o_totalprice > 400000) as value from orders"),
     "all_table": ("orders", "all(.o_totalprice > 0)", "select bool_and(o_totalprice > 0) as value from orders"),
     "reduce_sum": ("lineitem", "reduce .[] as $r (0; . + $r.l_quantity * $r.l_tax)", "select round(sum(l_quantity * l_tax), 4) as value from lineitem"),
@@ -43,17 +43,17 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "max_by_row": ("orders", "max_by(.o_totalprice) | {o_orderkey}", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 1"),
     "unique_rows": ("orders", "map({s: .o_orderstatus, p: .o_orderpriority}) | unique", "select distinct o_orderstatus as s, o_orderpriority as p from orders"),
     "unique_by": ("nation", "map({n_regionkey, n_nationkey}) | unique_by(.n_regionkey)", "select n_regionkey, min(n_nationkey) as n_nationkey from nation group by 1"),
-    "del_field": ("nation", "del(.n_name)", "select n_nationkey, n_regionkey from nation"),
-    "pick_fields": ("nation", "pick(.n_name, .n_nationkey)", "select n_name, n_nationkey from nation"),
+    "del_field": ("nation", "map(del(.n_name))", "select n_nationkey, n_regionkey from nation"),
+    "pick_fields": ("nation", "map(pick(.n_name, .n_nationkey))", "select n_name, n_nationkey from nation"),
     "assign_update": ("nation", ".[] | .n_nationkey += 100 | .n_name |= ascii_downcase", "select n_nationkey + 100 as n_nationkey, lower(n_name) as n_name, n_regionkey from nation"),
-    "join_inner": ("orders", "join_inner($customer; .o_custkey; .c_custkey) | {o_orderkey, c_name}", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey"),
-    "join_left": ("customer", "join_left($orders; .c_custkey; .o_custkey) | {c_custkey, o_orderkey}", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey"),
-    "semi_in": ("customer", "join_semi($orders; .c_custkey; .o_custkey) | {c_custkey}", "select c_custkey from customer where c_custkey in (select o_custkey from orders)"),
-    "anti_in": ("customer", "join_anti($orders; .c_custkey; .o_custkey) | {c_custkey}", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)"),
+    "join_inner": ("orders", "join_inner($customer; .o_custkey; .c_custkey) | map({o_orderkey, c_name})", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey"),
+    "join_left": ("customer", "join_left($orders; .c_custkey; .o_custkey) | map({c_custkey, o_orderkey})", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey"),
+    "semi_in": ("customer", "join_semi($orders; .c_custkey; .o_custkey) | map({c_custkey})", "select c_custkey from customer where c_custkey in (select o_custkey from orders)"),
+    "anti_in": ("customer", "join_anti($orders; .c_custkey; .o_custkey) | map({c_custkey})", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)"),
     "union_plus": ("nation", ". + $nation", "select * from nation union all select * from nation"),
     "minus_rows": ("nation", ". - $nation", "select * from nation where false"),
-    "running_total": ("events", "running(\"total\"; .user_id; [.ts, .event_id]; .value) | {event_id, total}", "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as total from events"),
-    "top_per_group": ("orders", "top_per(3; .o_custkey; [-.o_totalprice, .o_orderkey]) | {o_custkey, o_orderkey}", "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3"),
+    "running_total": ("events", "running(\"total\"; .user_id; [.ts, .event_id]; .value) | map({event_id, total})", "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as total from events"),
+    "top_per_group": ("orders", "top_per(3; .o_custkey; [-.o_totalprice, .o_orderkey]) | map({o_custkey, o_orderkey})", "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3"),
     "array_sum": ("embeddings", ".[] | {vec_id, s: (.embedding | map(. * 1.0) | add), top: (.embedding | max), n: (.embedding | array_length)}", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as s, round(list_max(embedding)::double, 4) as top, len(embedding) as n from embeddings"),
     "array_filter": ("embeddings", ".[] | {vec_id, n: ([.embedding[] | select(. > 0)] | array_length), any: (.embedding | any(. > 2.5))}", "select vec_id, len(list_filter(embedding, lambda x: x > 0)) as n, len(list_filter(embedding, lambda x: x > 2.5)) > 0 as any from embeddings"),
     "array_reduce": ("embeddings", ".[] | {vec_id, s: (reduce .embedding[] as $x (0.0; . + $x * $x))}", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as s from embeddings"),

@@ -71,6 +71,9 @@ class Engine:
         return apply_rows(df, self._whole(program), keep, variables=self.variables, errors=errors, modules=self.modules)
 
     def table(self, df: DataFrame, program: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-        """A program over a whole table, lowered to a DataFrame plan.  The session's variables are seen, its functions
-        are not."""
-        return lower(df, program, tables, self.variables)
+        """A program over a whole table, lowered to a DataFrame plan."""
+        return lower(df, self._whole(program), tables, self.variables, modules=self.modules)
+
+    def run(self, df: DataFrame | None, program: str, tables: dict[str, DataFrame] | None = None, schema: str | None = None) -> DataFrame:
+        """Any program over a table (of null where there is none); see ``plans.lower``."""
+        return lower(self.spark if df is None else df, self._whole(program), tables, self.variables, schema, modules=self.modules)
