@@ -20,14 +20,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipewright.lang import builtins
 from pipewright.lang.interp import Env, run
 from pipewright.lang.modules import find, load
 from pipewright.lang.parser import SyntaxProblem, parse
 from pipewright.lang.printer import format_program, to_json
 from pipewright.lang.values import FilterError, Halt, dumps
 from pipewright.operators.dynamic import apply_json
+from pipewright.session import Engine
 from pipewright.sources import files
-from pipewright.sources.formats import SEPARATORS, canonical, decode, encode
+from pipewright.sources.formats import COLOURS, SEPARATORS, by_extension, canonical, coloured, decode, encode
 
 
 def options() -> argparse.ArgumentParser:
@@ -40,7 +42,9 @@ def options() -> argparse.ArgumentParser:
         ("-c", "--compact-output", "no white space"), ("-r", "--raw-output", "strings without quotes"), ("-j", "--join-output", "as -r, without line ends"),
         ("-a", "--ascii-output", "escapes for all but ASCII"), ("-S", "--sort-keys", "keys in order"), ("-e", "--exit-status", "status by the last output"),
         ("-q", "--quiet", "no outputs"), ("-i", "--in-place", "replace each file by its outputs"), ("--tab", "--tabs", "indent by tabs"),
-        ("--stream", "--events", "inputs as path events"), ("--seq", "--record-separators", "a record separator before each output"),
+        ("--stream", "--events", "inputs as path events"), ("--stream-errors", "--events-and-errors", "as --stream, and a broken document as its message in an array"),
+        ("-C", "--color-output", "colours"), ("-M", "--monochrome-output", "no colours"), ("--unbuffered", "--flush", "write each output at once"), ("--doc", "--functions", "the functions, as JSON"),
+        ("--repl", "--interactive", "read programs from standard input, line by line"), ("--seq", "--record-separators", "a record separator before each output"),
         ("--raw-output0", "--nul-output", "as -r, NUL after each output"), ("--fmt", "--format-program", "lay programs out"), ("--tree", "--dump-tree", "show the program's tree"),
     ):
         add(short, long, action="store_true", help=words)
@@ -72,6 +76,8 @@ class Writer:
     def __init__(self, o, stream):
         self.o, self.stream, self.count, self.last = o, stream, 0, None
         self.target = canonical(o.target)
+        given = [x for x in os.environ.get("JQ_COLORS", "").split(":") if x]
+        self.styles = (*given[: len(COLOURS)], *COLOURS[len(given) :])
 
     def put(self, value) -> None:
         o, self.last = self.o, value
@@ -80,7 +86,8 @@ class Writer:
             return
         raw = isinstance(value, str) and (o.raw_output or o.join_output or o.raw_output0)
         indent = None if o.compact_output else "\t" if o.tab else o.indent or None
-        out = value if raw else encode(value, self.target, indent, o.sort_keys, o.ascii_output)
+        paint = o.color_output and not o.monochrome_output and self.target == "json"
+        out = value if raw else (coloured(value, indent, o.sort_keys, o.ascii_output, self.styles) if paint else encode(value, self.target, indent, o.sort_keys, o.ascii_output))
         if isinstance(out, bytes):
             self.stream.buffer.write(out)
             return
@@ -88,6 +95,8 @@ class Writer:
             self.stream.write(SEPARATORS[self.target])
         end = "\0" if o.raw_output0 else "" if o.join_output or out.endswith("\n") and not raw else "\n"
         self.stream.write(("\x1e" if o.seq else "") + out + end)
+        if o.unbuffered:
+            self.stream.flush()
 
 
 def documents(spark: SparkSession, o, names: list[str]) -> DataFrame:
@@ -142,9 +151,14 @@ def one_cursor(o, docs, program, variables, modules, writer) -> int:
 def distributed(o, docs, program, variables, modules, writer) -> int:
     """Run on the executors; outputs in the order of the documents."""
     good = docs.where("error is null")
-    if o.stream:
+    if o.stream_errors:  # a broken document is its message
+        good = docs.select("place", "file", "doc", F.coalesce("value", F.to_json(F.array("error"))).alias("value"), F.col("error").alias("_bad"))
+        whole = apply_json(good.where("_bad is null"), "tostream", keep=("place", "file", "doc")).select("place", "file", F.struct("doc", "pos").alias("doc"), F.col("output").alias("value"))
+        good = whole.unionByName(good.where("_bad is not null").select("place", "file", F.struct("doc", F.lit(-1).alias("pos")).alias("doc"), "value"))
+        docs = docs.where("false")
+    elif o.stream:
         good = apply_json(good.select("place", "file", "doc", "value"), "tostream", keep=("place", "file", "doc")).select("place", "file", F.struct("doc", "pos").alias("doc"), F.col("output").alias("value"))
-    out, status = apply_json(good, program, keep=("place", "file", "doc"), variables=variables, errors="keep", modules=modules, file="file", line=None if o.stream else "doc"), 0
+    out, status = apply_json(good, program, keep=("place", "file", "doc"), variables=variables, errors="keep", modules=modules, file="file", line=None if o.stream or o.stream_errors else "doc"), 0
     if o.output:
         files.write(out.where("error is null").withColumnRenamed("output", "value"), o.output, o.target)
         for bad, code in ((out, 5), (docs, 4)):
@@ -178,6 +192,50 @@ def execute(spark: SparkSession, o, program: str, names: list[str], variables: d
     return status
 
 
+def documentation() -> list[dict]:
+    """Every function with its number of arguments, and what its rule says of itself."""
+    known = {**builtins.VALUES, **builtins.PATHS}
+    return [{"name": n, "arity": k, "about": (known[n, k].__doc__ or "").strip()} for n, k in sorted(known) if not n.startswith("_")]
+
+
+def prompt(source, stream) -> int:
+    """Lines of definitions (``def f: ..;``) and programs; each program runs on the last value.
+
+    Commands: :help, :doc, :reset, :dump, :to FORMAT, :load FILE, :exit.
+    """
+    engine, value, target = Engine(None), None, "json"
+    for line in source:
+        words = line.strip()
+        if not words:
+            continue
+        try:
+            if words in (":exit", ":quit"):
+                return 0
+            if words == ":reset":
+                engine.reset()
+                value = None
+            elif words == ":dump":
+                stream.write(engine.dump())
+            elif words == ":help":
+                stream.write((prompt.__doc__ or "").strip() + "\n")
+            elif words == ":doc":
+                stream.write("\n".join(f"{d['name']}/{d['arity']}" for d in documentation()) + "\n")
+            elif words.startswith(":to "):
+                target = canonical(words[4:])
+            elif words.startswith(":load "):
+                path = Path(words[6:].strip())
+                value = next(iter(decode(path.read_bytes(), by_extension(path.name))), None)
+            elif words.startswith("def "):
+                engine.define(words)
+            else:
+                for value in engine.evaluate(words, value):
+                    text = encode(value, target, 2)
+                    stream.write(text if isinstance(text, str) and text.endswith("\n") else f"{text}\n")
+        except (SyntaxProblem, FilterError, Halt, OSError, ValueError, RecursionError) as e:
+            stream.write(f"error: {e}\n")
+    return 0
+
+
 def in_place(spark, o, program, names, variables) -> int:
     """Each file's outputs take its place at once, and only if all went well."""
     worst = 0
@@ -205,6 +263,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, strea
             for text in [Path(o.from_file).read_text()] if o.from_file else rest or [sys.stdin.read()]:
                 stream.write(format_program(text))
             return 0
+        if o.doc:
+            stream.write(encode(documentation(), "json", None if o.compact_output else o.indent) + "\n")
+            return 0
+        if o.repl:
+            return prompt(sys.stdin, stream)
         if o.from_file:
             program = Path(o.from_file).read_text()
         elif rest:

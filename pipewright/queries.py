@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipewright import catalogue_io
+from pipewright.catalogue import FAMILIES
 from pipewright.operators.dynamic import apply_rows
 from pipewright.plans.lower import lower
 
@@ -49,9 +51,9 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "join_inner": ("orders", "join_inner($customer; .o_custkey; .c_custkey) | map({o_orderkey, c_name})", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey"),
     "join_left": ("customer", "join_left($orders; .c_custkey; .o_custkey) | map({c_custkey, o_orderkey})", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey"),
     "semi_in": ("customer", "join_semi($orders; .c_custkey; .o_custkey) | map({c_custkey})", "select c_custkey from customer where c_custkey in (select o_custkey from orders)"),
-    "anti_in": ("customer", "join_anti($orders; .c_custkey; .o_custkey) | map({c_custkey})", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)"),
+    "anti_in": ("supplier", "join_anti($customer; .s_suppkey; .c_custkey * 2) | map({s_suppkey})", "select s_suppkey from supplier where s_suppkey not in (select c_custkey * 2 from customer)"),
     "union_plus": ("nation", ". + $nation", "select * from nation union all select * from nation"),
-    "minus_rows": ("nation", ". - $nation", "select * from nation where false"),
+    "minus_rows": ("nation", "map({n_nationkey, n_name: (if .n_regionkey == 1 then (.n_name | ascii_downcase) else .n_name end), n_regionkey}) | . - $nation", "select n_nationkey, lower(n_name) as n_name, n_regionkey from nation where n_regionkey = 1"),
     "running_total": ("events", "running(\"total\"; .user_id; [.ts, .event_id]; .value) | map({event_id, total})", "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as total from events"),
     "top_per_group": ("orders", "top_per(3; .o_custkey; [-.o_totalprice, .o_orderkey]) | map({o_custkey, o_orderkey})", "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3"),
     "array_sum": ("embeddings", ".[] | {vec_id, s: (.embedding | map(. * 1.0) | add), top: (.embedding | max), n: (.embedding | array_length)}", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as s, round(list_max(embedding)::double, 4) as top, len(embedding) as n from embeddings"),
@@ -62,7 +64,7 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "comma_outputs": ("nation", ".[] | (.n_nationkey, .n_regionkey)", "select n_nationkey as value from nation union all select n_regionkey from nation"),
     "string_case": ("part", ".[] | {p_partkey, u: (.p_name | ascii_upcase), n: (.p_name | string_length)}", "select p_partkey, upper(p_name) as u, length(p_name) as n from part"),
     "string_split": ("part", ".[] | {p_partkey, w: (.p_name | split(\" \") | join(\"-\"))}", "select p_partkey, replace(p_name, ' ', '-') as w from part"),
-    "string_test": ("part", ".[] | select(.p_name | test(\"1.*3\")) | {p_partkey}", "select p_partkey from part where regexp_matches(p_name, '1.*3')"),
+    "string_test": ("part", ".[] | select(.p_name | test(\"r.*g\")) | {p_partkey}", "select p_partkey from part where regexp_matches(p_name, 'r.*g')"),
     "string_gsub": ("part", ".[] | {p_partkey, s: (.p_name | gsub(\"[0-9]+\"; \"#\")), t: (.p_type | sub(\"[A-Z]\"; \"_\"))}", "select p_partkey, regexp_replace(p_name, '[0-9]+', '#', 'g') as s, regexp_replace(p_type, '[A-Z]', '_') as t from part"),
     "string_trim": ("part", ".[] | {p_partkey, l: (.p_name | ltrimstr(\"part\")), s: (.p_name | startswith(\"p\"))}", "select p_partkey, case when starts_with(p_name, 'part') then substr(p_name, 5) else p_name end as l, starts_with(p_name, 'p') as s from part"),
     "string_interpolation": ("part", ".[] | {p_partkey, t: \"\\(.p_brand)/\\(.p_size)\"}", "select p_partkey, p_brand || '/' || p_size as t from part"),
@@ -116,9 +118,18 @@ def _dynamic(table: str, keep: tuple[str, ...], program: str):
     return query
 
 
+def _family(table: str, program: str, schema: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        others = {name: read(name) for name in ("customer", "orders", "nation") if f"${name}" in program}
+        return _rounded(lower(read(table), program, others, schema=schema or None, modules=MODULES))
+
+    return query
+
+
 def queries():
-    return {n: _static(t, p) for n, (t, p, _) in PROGRAMS.items()} | {n: _dynamic(t, k, p) for n, (t, k, p, _) in DYNAMIC.items()}
+    return {n: _static(t, p) for n, (t, p, _) in PROGRAMS.items()} | {n: _family(t, p, s) for n, (t, p, s, _) in FAMILIES.items()} | {n: _dynamic(t, k, p) for n, (t, k, p, _) in DYNAMIC.items()} | catalogue_io.queries()
 
 
 def oracle_sql():
-    return {n: s for n, (_, _, s) in PROGRAMS.items()} | {n: s for n, (_, _, _, s) in DYNAMIC.items()}
+    return {n: s for n, (_, _, s) in PROGRAMS.items()} | {n: s for n, (_, _, _, s) in FAMILIES.items()} | {n: s for n, (_, _, _, s) in DYNAMIC.items()} | catalogue_io.oracle_sql()

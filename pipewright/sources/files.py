@@ -66,21 +66,49 @@ def table(spark: SparkSession, paths: str | list[str], fmt: str, schema=None) ->
     raise ValueError(f"{fmt} has no typed reader; use read()")
 
 
+def decoded(df: DataFrame, fmt: str, column: str = "value", keep: tuple[str, ...] = (), errors: str = "raise") -> DataFrame:
+    """``keep`` columns, pos, value (JSON text) and error of the documents in each row's text (or bytes) in a format."""
+    fmt = canonical(fmt)
+
+    def work(batches):
+        for b in batches:
+            source, pos, values, bad = [], [], [], []
+            for i, data in enumerate(b.column(column).to_pylist()):
+                k = 0
+                try:
+                    for x in decode(data, fmt) if data is not None else ():
+                        source.append(i), pos.append(k), values.append(dumps(x)), bad.append(None)
+                        k += 1
+                except (FilterError, ValueError, RecursionError) as e:
+                    if errors == "raise":
+                        raise
+                    source.append(i), pos.append(k), values.append(None), bad.append(str(e))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(pa.array(source, pa.int64())) for c in keep), pa.array(pos, pa.int64()), pa.array(values, pa.string()), pa.array(bad, pa.string())],
+                [*keep, "pos", "value", "error"],
+            )
+
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return df.select(*dict.fromkeys((*keep, column))).mapInArrow(work, kept + "pos long, value string, error string")
+
+
 def null_input(spark: SparkSession) -> DataFrame:
     """One row of null: a program's input when there is none."""
     return spark.range(1).select(F.lit(None).cast("string").alias("value"))
 
 
-def encoded(df: DataFrame, fmt: str, column: str = "value", **options) -> DataFrame:
-    """``data``: each document of JSON text in the format (binary for cbor, else text)."""
+def encoded(df: DataFrame, fmt: str, column: str = "value", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """``keep`` columns and ``data``: each document of JSON text in the format (binary for cbor, else text)."""
     fmt = canonical(fmt)
     out = pa.binary() if fmt == "cbor" else pa.string()
 
     def work(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encode(None if x is None else loads(x), fmt, **options) for x in b.column(0).to_pylist()], out)], ["data"])
+            made = [encode(None if x is None else loads(x), fmt, **options) for x in b.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(made, out)], [*keep, "data"])
 
-    return df.select(column).mapInArrow(work, f"data {'binary' if fmt == 'cbor' else 'string'}")
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return df.select(*dict.fromkeys((*keep, column))).mapInArrow(work, kept + f"data {'binary' if fmt == 'cbor' else 'string'}")
 
 
 def write(df: DataFrame, path: str, fmt: str = "ndjson", column: str = "value", mode: str = "errorifexists", ends: str = "\n", **options) -> None:

@@ -21,7 +21,7 @@ from xml.sax.saxutils import escape, quoteattr
 from pipewright.lang.values import FilterError, dumps, kind
 
 ALIASES = {"yml": "yaml", "py": "pylit", "jsonloose": "j", "jsonl": "ndjson", "jsonc": "j", "jsons": "j"}
-FORMATS = ("json", "json5", "j", "pylit", "ndjson", "yaml", "toml", "xml", "csv", "csvh", "tsv", "tsvh", "env", "exportenv", "cbor", "raw")
+FORMATS = ("json", "json5", "j", "pylit", "ndjson", "yaml", "toml", "xml", "csv", "csvh", "tsv", "tsvh", "env", "exportenv", "cbor", "raw", "jq")
 #: What stands between the documents of one text.
 SEPARATORS = {"yaml": "---\n", "toml": "+++\n"}
 XML_DEPTH = 128
@@ -353,6 +353,14 @@ def decode(data: bytes | str, fmt: str):
         yield from _from_xml(text)
     elif fmt in ("env", "exportenv"):
         yield from _from_env(text)
+    elif fmt == "jq":
+        from pipewright.lang.parser import SyntaxProblem, parse
+        from pipewright.lang.printer import to_json
+
+        try:
+            yield to_json(parse(text))
+        except SyntaxProblem as e:
+            raise FilterError(f"program: {e}") from None
     elif fmt == "raw":
         yield from text.removesuffix("\n").split("\n") if text else ()
     else:
@@ -362,6 +370,32 @@ def decode(data: bytes | str, fmt: str):
 # writers ----------------------------------------------------------------------------------------------------------
 
 
+#: Terminal styles of null, false, true, numbers, strings, arrays, objects and keys; fixed values.
+COLOURS = ("0;90", "0;39", "0;39", "0;39", "0;32", "1;39", "1;39", "1;34")
+
+
+def coloured(v, indent: int | str | None = 2, sort: bool = False, ascii: bool = False, styles: tuple[str, ...] = COLOURS) -> str:  # noqa: A002
+    """``pretty`` for terminals: each scalar, key and bracket in its style."""
+    step = " " * indent if isinstance(indent, int) else indent
+    paint = lambda k, t: f"\x1b[{styles[k]}m{t}\x1b[0m"
+    plain = lambda x: json.dumps(x) if isinstance(x, str) and ascii else dumps(x)
+
+    def write(x, pad):
+        if not isinstance(x, (list, dict)):
+            return paint({"null": 0, "number": 3, "string": 4}.get(kind(x), 2 if x else 1), plain(x))
+        k, (a, b) = (5, "[]") if isinstance(x, list) else (6, "{}")
+        if not x:
+            return paint(k, a + b)
+        inner = "" if step is None else pad + step
+        gap = "" if step is None else " "
+        names = sorted(x) if sort and k == 6 else x
+        parts = [write(y, inner) for y in x] if k == 5 else [paint(7, plain(n)) + paint(6, ":") + gap + write(x[n], inner) for n in names]
+        line, last = ("", "") if step is None else (f"\n{inner}", f"\n{pad}")
+        return paint(k, a) + line + (paint(k, ",") + line).join(parts) + last + paint(k, b)
+
+    return write(v, "")
+
+
 def pretty(v, indent: int | str | None = 2, sort: bool = False, ascii: bool = False, words: dict | None = None) -> str:  # noqa: A002
     """JSON text; ``indent`` None is compact.  ``words`` replaces null, true, false and the non-finite numbers."""
     step = " " * indent if isinstance(indent, int) else indent
@@ -474,4 +508,8 @@ def encode(v, fmt: str, indent: int | str | None = None, sort: bool = False, asc
         return _to_env(v, "export " if fmt == "exportenv" else "")
     if fmt == "raw":
         return v if isinstance(v, str) else dumps(v)
+    if fmt == "jq":
+        from pipewright.lang import printer
+
+        return printer.text(printer.from_json(v)) + "\n"
     return _to_table(v, "," if fmt[0] == "c" else "\t", fmt.endswith("h"))

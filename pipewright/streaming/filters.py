@@ -46,5 +46,7 @@ def running(stream: DataFrame, key: str, program: str, initial=None, column: str
 
 def windowed(stream: DataFrame, time: str, width: str, late: str, keys: tuple[str, ...] = (), slide: str | None = None, **aggregates) -> DataFrame:
     """Aggregates over tumbling or sliding windows of event time; rows later than ``late`` are left out."""
+    if stream.schema[time].dataType.typeName() == "timestamp_ntz":  # event time needs a zone
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return stream.withWatermark(time, late).groupBy(window.alias("window"), *keys).agg(*(c.alias(n) for n, c in aggregates.items()))
