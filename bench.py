@@ -12,7 +12,7 @@ from pipewright import queries as programs
 
 HEADLINE = (
     "flagship_report", "project_object", "select_filter", "arithmetic", "sort_limit", "group_many", "join_inner", "semi_in", "running_total",
-    "top_per_group", "array_reduce", "iterate_array", "string_gsub", "json_props", "date_text", "dynamic_recursion", "dynamic_fromjson",
+    "top_per_group", "array_reduce", "iterate_array", "string_gsub", "json_props", "date_text", "dynamic_recursion", "dynamic_fromjson", "number_fold", "json_column", "lookup_index", "order_rest_rows", "fold_running",
 )
 
 
