@@ -6,7 +6,10 @@ leftmost pair of the lowest rank, until no pair is left.  Chunks are cached (see
 beyond ASCII are cut by the pattern as a whole.  Decoding: token rows join the byte table and are put together in
 position order.  DuckDB runs on one thread with a memory limit, in the worker; nothing is shuffled.
 
-Defined results: null as empty; an empty text has no id and the hashes of nothing; ids out of the vocabulary raise.
+Defined results: null as empty; an empty text has no id and the hashes of nothing; ids out of the vocabulary raise; null
+and repeated ids are documents of their own; other columns are not looked at; an empty table gives an empty result.  A
+text takes memory in proportion to its length, and so does one unbroken word, which is first cut where no token can lie
+across.
 """
 
 from __future__ import annotations
@@ -39,12 +42,43 @@ with recursive s(step, w, p, t, np, nt, k) as (
       select x.w, x.k >> 32 as rank, (x.k & 4294967295)::int as p, x.np, y.np as after_p, y.nt as after_t
       from (select w, min(k) as k, arg_min(np, k) as np from s where k is not null group by w) x join s y on y.w = x.w and y.p = x.np
     ) b on s.w = b.w
-    where s.p <> b.np
+    where s.p <> b.np and s.step < {steps}
   ) z left join merges m on m.a = case when z.touched then z.t end and m.b = z.nt
 )
-select w, t from s semi join (select w, max(step) as step from s group by w) using (w, step) order by w, p
+select w, t, step from s semi join (select w, max(step) as step from s group by w) using (w, step) order by w, p
 """
 
+#: One long word, ``symbols`` in order: a step contracts all the occurrences of the lowest pair that the leftmost-first
+#: rule would take one after the other: every second one of a run that overlaps, and only the first where the new token
+#: could be part of a lower pair (``eager``).  STEPS steps at a time, so that the rows kept do not grow with the word.
+_ENCODE_LONG = """
+with recursive s(step, p, t) as (
+  select 0, p, t from symbols
+  union all
+  select step + 1, row_number() over (order by p) - 1, t
+  from (
+    select z.step, z.p, case when z.taken then z.rank else z.t end as t
+    from (
+      select *, coalesce(lag(taken) over (order by p), false) as gone
+      from (
+        select *, rank = low and (case when first_only then p = min(case when rank = low then p end) over () else (row_number() over (partition by run, rank = low order by p)) % 2 = 1 end) as taken
+        from (
+          select *, p - row_number() over (partition by rank = low order by p) as run
+          from (
+            select x.*, m.rank, min(m.rank) over () as low, bool_or(e.rank is not null) over () as first_only
+            from (select step, p, t, lead(t) over (order by p) as nt from s) x
+            left join merges m on m.a = x.t and m.b = x.nt
+            left join eager e on e.rank = m.rank
+          )
+        )
+      )
+    ) z where not z.gone and z.step < {steps} and z.low is not null
+  ) y
+)
+select p, t, step from s where step = (select max(step) from s) order by p
+"""
+STEPS, LONG_WORD, ROWS_KEPT = 16, 512, 1_000_000
+
 _DECODE = "select d, string_agg(piece, '') as s from (select d, piece from tokens join pieces using (id) order by p) group by d order by d"
 
 
@@ -58,22 +92,60 @@ class DuckBpe:
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})  # spills to no folder of this machine
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         pairs = np.array(pairs, np.int32).reshape(-1, 3)
         self._load("merges", a=pairs[:, 0], b=pairs[:, 1], rank=pairs[:, 2])
+        lower = np.concatenate([pairs[pairs[:, k] > pairs[:, 2], k] for k in (0, 1)])
+        self._load("eager", rank=np.unique(lower))  # tokens that are part of a lower one
         tokens = sorted((r, t) for t, r in self.ranks.items())
         self._load("pieces", id=np.array([r for r, _ in tokens], np.int32), piece=[t.decode("latin-1") for _, t in tokens])
         self.bytes = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.bytes < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
         self.cache = ChunkCache(self.encode_chunks)
+        self.heads: set[bytes] = set()
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("incoming", pa.table(columns))
         self.db.execute(f"create or replace temp table {name} as select * from incoming")
         self.db.unregister("incoming")
 
+    def parts(self, word: bytes) -> list[bytes]:
+        """A long word cut where no token of the vocabulary that occurs in it lies across: its ids are theirs in order."""
+        if not self.heads:
+            self.heads = {t[:k] for t in self.ranks for k in range(2, len(t) + 1)}
+        reach, cuts = 0, [0]
+        for i in range(len(word)):
+            if i and reach <= i:
+                cuts.append(i)
+            k = 2
+            while word[i : i + k] in self.heads and i + k <= len(word):
+                if i + k > reach and word[i : i + k] in self.ranks:
+                    reach = i + k
+                k += 1
+        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """The ids of one word, in space that grows with its length alone.
+
+        While that shortens it well, all occurrences of a pair are contracted in a step; then one pair in a step.
+        """
+        t, before = self.bytes[np.frombuffer(word, np.uint8)], 2 * len(word)
+        while True:
+            n = np.arange(len(t), dtype=np.int32)
+            if together := len(t) < 0.95 * before:
+                self._load("symbols", p=n, t=t)
+                steps, sql = STEPS, _ENCODE_LONG
+            else:
+                self._load("symbols", w=np.zeros(len(t), np.int32), p=n, t=t)
+                steps, sql = max(ROWS_KEPT // len(t), 4), _ENCODE
+            done = self.db.sql(sql.format(steps=steps)).to_arrow_table()
+            before = len(t) if together else before
+            t = done["t"].to_numpy().astype(np.int32)
+            if len(t) < 2 or done["step"][0].as_py() < steps:
+                return t.tolist()
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the ids of each word, of distinct words that are no tokens themselves."""
         if not words:
@@ -83,18 +155,27 @@ class DuckBpe:
         owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
         place = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         self._load("symbols", w=owner, p=place, t=self.bytes[flat])
-        done = self.db.sql(_ENCODE).to_arrow_table()
+        done = self.db.sql(_ENCODE.format(steps=1 << 30)).to_arrow_table()
         return done["t"].to_numpy().astype(np.int32), np.bincount(done["w"].to_numpy(), minlength=len(words))
 
     def encode_pieces(self, pieces: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the ids of each list of pieces."""
         rare = list(dict.fromkeys(p for x in pieces for p in x if p not in self.ranks))
         got: dict[bytes, list[int]] = {}
+        long = {w: self.parts(w) for w in rare if len(w) > LONG_WORD}
+        inner = [p for x in long.values() for p in x]
+        rare = list(dict.fromkeys(p for p in [*(w for w in rare if w not in long), *inner] if p not in self.ranks))
+        for w in [w for w in rare if len(w) > LONG_WORD]:
+            got[w] = self.encode_long(w)
+        rare = [w for w in rare if len(w) <= LONG_WORD]
         for i in range(0, len(rare), 20_000):
             ids, counts = self.encode_words(rare[i : i + 20_000])
             at, ids = np.concatenate([[0], np.cumsum(counts)]).tolist(), ids.tolist()
             for k, w in enumerate(rare[i : i + 20_000]):
                 got[w] = ids[at[k] : at[k + 1]]
+        for w, x in long.items():
+            if w not in got:
+                got[w] = [i for p in x for i in ([self.ranks[p]] if p in self.ranks else got[p])]
         out, lengths = [], []
         for x in pieces:
             before = len(out)

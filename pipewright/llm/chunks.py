@@ -2,7 +2,9 @@
 
 A text is cut before every run of ASCII white space, so that a chunk is such a run and what follows it.  Neither
 tokeniser here ever joins characters across such a cut, so a text's ids are those of its chunks in order.  A worker
-keeps the ids of the chunks it has met, under 64-bit hashes, up to ``most`` entries; then it starts afresh.
+keeps the ids of the chunks it has met, up to ``most`` entries or ``most_bytes`` of text; then it starts afresh.  Chunks
+are looked up by 64-bit hashes, and every one found is compared with the chunk kept by its bytes: one whose hash is
+another chunk's is encoded by itself.
 
 A tokeniser that never joins letters, digits and marks may be cut between those too (``kinds``): far fewer chunks are
 distinct where a word with a comma after it is no chunk of its own.
@@ -41,11 +43,29 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether a[x : x + n] equals b[y : y + n], for each (x, y, n): 8 bytes of each pair at a time, as long as some
+    pair is so long; both arrays have 8 bytes to spare."""
+    word = lambda raw: np.lib.stride_tricks.as_strided(raw.view(np.uint8)[:8].view(np.uint64), (len(raw) - 7,), (1,))
+    u, v = word(a), word(b)
+    out = np.ones(len(lengths), bool)
+    left, x, y, some = lengths, a_at, b_at, None
+    while len(left):
+        shift = np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64)
+        differ = ((u[x] ^ v[y]) << shift) != 0
+        if differ.any():
+            out[np.flatnonzero(differ) if some is None else some[differ]] = False
+        more = np.flatnonzero((left > 8) & ~differ)
+        some = more if some is None else some[more]
+        left, x, y = left[more] - 8, x[more] + 8, y[more] + 8
+    return out
+
+
 class ChunkCache:
-    def __init__(self, encoder: Encoder, most: int = 600_000, kinds: np.ndarray | None = None):
+    def __init__(self, encoder: Encoder, most: int = 600_000, kinds: np.ndarray | None = None, most_bytes: int = 32 << 20):
         """``kinds``: a number for each byte; a text is also cut between two of different numbers, neither 0, and
         between two digits (number 2)."""
-        self.encoder, self.most, self.kinds = encoder, most, kinds
+        self.encoder, self.most, self.kinds, self.most_bytes = encoder, most, kinds, most_bytes
         self._clear()
 
     def _clear(self):
@@ -53,14 +73,23 @@ class ChunkCache:
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
+        #: the bytes of all chunks kept, with 8 to spare, and where each begins and how long it is
+        self.text = np.zeros(8, np.uint8)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
 
     def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         ids, lengths = self.encoder(chunks)
         starts = len(self.pool) + np.cumsum(lengths) - lengths
         self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
-        keys, starts, lengths = (np.concatenate(x) for x in ((self.keys, keys), (self.starts, starts), (self.lengths, lengths)))
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = len(self.text) - 8 + np.cumsum(size) - size
+        self.text = np.concatenate([self.text[:-8], np.frombuffer(b"".join(chunks), np.uint8), np.zeros(8, np.uint8)])
+        columns = ((self.keys, keys), (self.starts, starts), (self.lengths, lengths), (self.at, at), (self.size, size))
+        keys, *rest = (np.concatenate(x) for x in columns)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.starts, self.lengths = keys[order], starts[order], lengths[order]
+        self.keys = keys[order]
+        self.starts, self.lengths, self.at, self.size = (x[order] for x in rest)
 
     def encode(self, raw: np.ndarray, at: np.ndarray):
         """Per slice of rows: (first row, row after the last, all ids, ids of each row)."""
@@ -85,14 +114,26 @@ class ChunkCache:
             inside = spot < len(self.keys)
             known[inside] = self.keys[spot[inside]] == unique[inside]
             if not known.all():
-                if len(self.keys) + len(unique) > self.most:
+                if len(self.keys) + len(unique) > self.most or len(self.text) + len(part) > self.most_bytes:
                     self._clear()
                     known[:] = False
                 text = part.tobytes()
                 self._learn(unique[~known], [text[starts[k] : ends[k]] for k in first[~known]])
                 spot = np.searchsorted(self.keys, unique)
             spot = spot[inverse]
-            lengths = self.lengths[spot]
-            ids = gather(self.pool, self.starts[spot], lengths)
+            wide = np.concatenate([part, np.zeros(8, np.uint8)])
+            right = self.size[spot] == ends - starts
+            if right.all():
+                right = same_bytes(wide, starts, self.text, self.at[spot], ends - starts)
+            else:
+                right[right] = same_bytes(wide, starts[right], self.text, self.at[spot][right], (ends - starts)[right])
+            lengths, begins, pool = self.lengths[spot], self.starts[spot], self.pool
+            if not right.all():  # another chunk has this hash
+                k = np.flatnonzero(~right)
+                text = part.tobytes()
+                more, sizes = self.encoder([text[starts[x] : ends[x]] for x in k])
+                begins[k], lengths[k] = len(pool) + np.cumsum(sizes) - sizes, sizes
+                pool = np.concatenate([pool, more.astype(np.int32)])
+            ids = gather(pool, begins, lengths)
             upto = np.concatenate([[0], np.cumsum(lengths)])
             yield i, j, ids, np.diff(upto[np.searchsorted(starts, edges)])

@@ -8,8 +8,10 @@ decreasing, whole classes of equal sequences at a time.  The plan says, for each
 sequences at which offset.  Ranks are counted within partitions and shifted by the counts of those before, so that a
 length which a third of all pieces have is no single task's work.
 
-Defined results: null as empty (one piece of the end token); rows repeated are separate documents; an empty table has
-no pieces.
+Defined results: null as empty (one piece of the end token); rows repeated, and rows of a null id, are separate
+documents; pieces of one length are ranked by task, doc_id, piece and checksum, so that ties only decide which of them
+goes where; an empty table has no pieces; other columns are not looked at.  A very long text is cut into many pieces,
+and takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,7 +137,7 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarr
 
 #: The pattern of a tokeniser that parts letters, single digits and marks, contractions aside.
 _BY_KIND = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORKER: dict[str, ChunkCache] = {}
+_WORKER: dict[str, tuple] = {}
 
 
 def parts_by_kind(settings: dict) -> bool:
@@ -142,13 +145,13 @@ def parts_by_kind(settings: dict) -> bool:
     return any(p.get("pattern") == {"Regex": _BY_KIND} for p in (settings.get("pre_tokenizer") or {}).get("pretokenizers", ()))
 
 
-def worker_cache(path: str) -> ChunkCache:
+def worker_coder(path: str) -> tuple:
+    """This worker's cache of chunks, encoder of whole texts and added tokens, made once."""
     if path not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
 
         def encode(chunks):
             plain = [c.strip(b" \t\n\r\v\f").lower() for c in chunks]  # the tokeniser drops white space and lower-cases
@@ -163,17 +166,41 @@ def worker_cache(path: str) -> ChunkCache:
             which = np.fromiter((number[c] for c in plain), np.int64, len(plain))
             return gather(np.concatenate(pools), (np.cumsum(sizes) - sizes)[which], sizes[which]), sizes[which]
 
-        _WORKER[path] = ChunkCache(encode, kinds=ascii_kinds() if parts_by_kind(json.loads(tokenizer.to_str())) else None)
+        settings = json.loads(tokenizer.to_str())
+        cache = ChunkCache(encode, kinds=ascii_kinds() if parts_by_kind(settings) else None)
+        _WORKER[path] = cache, lambda text: tokenizer.encode(text, add_special_tokens=False).ids, [t["content"] for t in settings.get("added_tokens") or ()]
     return _WORKER[path]
 
 
+def ids_of(path: str, column: pa.Array):
+    """Per slice of rows: (first row, row after the last, all ids, ids of each row).  A text with an added token in it,
+    which the tokeniser finds before all else, is encoded as a whole; all others go through the cache of chunks."""
+    cache, whole, added = worker_coder(path)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    marked = np.zeros(len(column), bool)
+    for token in added:
+        marked |= pc.fill_null(pc.match_substring(column, token, ignore_case=True), False).to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(column):
+        if marked[i]:
+            ids = np.array(whole(column[i].as_py()), np.int32)
+            yield i, i + 1, ids, np.array([len(ids)], np.int64)
+            i += 1
+        else:
+            j = i + int(np.argmax(np.append(marked[i:], True)))
+            for a, b, ids, n in cache.encode(*text_view(column.slice(i, j - i))):
+                yield i + a, i + b, ids, n
+            i = j
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and part (the task that made the row) of every document."""
 
     def run(batches):
-        cache, part = worker_cache(tokenizer_path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for b in batches:
-            for i, j, ids, n in cache.encode(*text_view(b.column("text"))):
+            for i, j, ids, n in ids_of(tokenizer_path, b.column("text")):
                 row, number, start, length, crc = [], [], [], [], []
                 at = np.concatenate([[0], np.cumsum(n)])
                 tail = np.array([end_id], "<u4")

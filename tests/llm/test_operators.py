@@ -70,6 +70,17 @@ def brute_groups(rows):
     return {d: root(d) for d in sets}
 
 
+def _thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+#: A word and its complement that any polynomial hash modulo 2**64 confuses, alone and together.
+COLLIDING = [_thue_morse(1024), _thue_morse(1024).translate(str.maketrans("ab", "ba")), _thue_morse(1024) + " " + _thue_morse(1024).translate(str.maketrans("ab", "ba"))]
+
+
 def test_near_groups(docs, rows):
     got = {r.doc_id: r.class_id for r in minhash.near_groups(docs).collect()}
     assert got == brute_groups(rows)
@@ -110,7 +121,7 @@ def test_bpe(docs, rows):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    extra = docs.sparkSession.createDataFrame([(900, "it's 12 we'll\r\n\t  x    y"), (901, "<|endoftext|>"), (902, "z" * 5000)], "doc_id long, text string")
+    extra = docs.sparkSession.createDataFrame([(900, "it's 12 we'll\r\n\t  x    y"), (901, "<|endoftext|>"), (902, "z" * 5000), (903, "z" * 100_000), *((904 + i, t) for i, t in enumerate(COLLIDING)), (908, "ab" * 3000 + "ba" * 2000 + "日本" * 400), (909, "word " * 20_000)], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(extra)
     texts = {r.doc_id: r.text or "" for r in every.collect()}
     got = {r.doc_id: r for r in bpe.digests(every).collect()}
@@ -121,6 +132,23 @@ def test_bpe(docs, rows):
     assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(every)).collect()} == texts
 
 
+def test_bpe_odd(odd, none):
+    got = bpe.digests(odd).collect()
+    assert len(got) == 5 and sorted(r.n_tokens for r in got) == [0, 0, 3, 3, 3] and sum(r.doc_id is None for r in got) == 2
+    assert bpe.digests(none).count() == 0 and bpe.encode(none).count() == 0
+
+
+def test_chunks_under_one_hash_keep_apart():
+    from pipewright.llm.chunks import ChunkCache
+    from pipewright.llm.common import text_view
+
+    cache = ChunkCache(lambda chunks: (np.array([c[0] * 1000 + len(c) for c in chunks], np.int32), np.ones(len(chunks), np.int64)))
+    for texts in (COLLIDING[:1], COLLIDING[1:2], COLLIDING, ["a" * 7, "a" * 8, "a" * 9]):
+        for _, _, ids, n in cache.encode(*text_view(pa.array(texts))):
+            got = np.split(ids, np.cumsum(n)[:-1])
+            assert [x.tolist()[0] for x in got] == [ord(t[0]) * 1000 + len(t.split()[0]) for t in texts]
+
+
 def brute_removal(rows, n=50):
     first = {}
     for d, t in rows:
@@ -169,8 +197,18 @@ def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
+    rows = [*rows, *((900 + i, t) for i, t in enumerate(COLLIDING)), (910, "hello <|endoftext|> x"), (911, "A<|EndOfText|>b it's 1,234"), (None, "no id"), (3, "again"), (3, "again"), (912, "word " * 20_000)]
+    docs = docs.sparkSession.createDataFrame([(i, t, None, "s", 1, "clash") for i, t in rows], SCHEMA).repartition(3)
     got = packing.pack(docs, capacity=64).collect()
+    repeated = [r for r in got if r.doc_id == 3]
+    assert len([r for r in repeated if r.piece == 0]) == 3  # rows with one id are documents of their own
+    placed = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    at = {}
+    for s, o, n in placed:
+        assert o == at.get(s, 0)
+        at[s] = o + n
+    assert max(at.values()) <= 64
+    rows, got = [(d, t) for d, t in rows if d != 3], [r for r in got if r.doc_id != 3]
     pieces = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got}
     want = {}
     for d, t in rows:
@@ -178,11 +216,6 @@ def test_packing(docs, rows, none):
         for k in range(0, len(ids), 64):
             want[d, k // 64] = (k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes()))
     assert pieces == want and len(got) == len(want)
-    used = {}
-    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
-        assert r.offset == used.get(r.sequence_id, 0)
-        used[r.sequence_id] = r.offset + r.length
-    assert max(used.values()) <= 64
     assert packing.pack(none).count() == 0
 
 
