@@ -32,13 +32,15 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    A temporary one is set only where that is unset (tests and single-machine runs).
+    A temporary one is set only where that is unset, on a single machine (tests); a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -67,6 +69,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Groups of more rows than HOT, and than the HOT_KEYS-th part of all rows, are joined back by broadcast: at most
+#: HOT_KEYS of them.
+HOT, HOT_KEYS = 512, 100_000
+
+
+def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with one row of ``groups`` for each key (equal nulls too), without one task for a hot key.
+
+    ``size``: the column of ``groups`` with a key's number of rows; ``total``: the number of all rows.  There are fewer
+    than total / limit groups above the limit, so what is broadcast has HOT_KEYS rows at most.
+    """
+    limit = max(HOT, total // HOT_KEYS)
+    other = groups.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), *(c for c in groups.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    hot = other.where(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(other, same).drop(*(f"_g{i}" for i in range(len(keys))))
+    names = F.broadcast(hot.select(*(f"_g{i}" for i in range(len(keys)))))
+    some = rows.join(F.broadcast(hot), same)
+    rest = rows.join(names, same, "left_anti").join(other.where(F.col(size) <= limit), same)
+    return some.unionByName(rest).drop(*(f"_g{i}" for i in range(len(keys))))
+
+
 @contextlib.contextmanager
 def records_per_batch(spark: SparkSession, n: int):
     """Arrow batches of at most ``n`` rows for what is run inside: for rows that are large."""

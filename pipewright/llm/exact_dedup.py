@@ -1,14 +1,16 @@
 """Exact dedup by content-defined chunk recipes, with DataFrame functions only.
 
 Each normalised text (A-Z lower-cased, null as empty) is cut where its own content says so: a chunk runs for at least
-``CHUNK_MIN`` code points to the next sentence mark or line end, or for ``CHUNK_MAX`` at most.  A chunk gets a 64-bit
-identifier.  The identifiers of the whole corpus are deduplicated and verified: one that names chunks of two different
-second hashes is in conflict, and with any conflict the identifiers of all chunks become the pair of both hashes.
-Texts are equal when their ordered identifier lists are; the lists are grouped as they are, so that no text is
-shuffled, and each list is 1/20 of its text or less.
+``CHUNK_MIN`` code points to the next sentence mark or line end, or for ``CHUNK_MAX`` at most.  A chunk gets an
+identifier that is verified by itself, 128 bits of the SHA-256 of its bytes, so that equal chunks anywhere have one and
+different ones two.  A recipe is the ordered list of a text's identifiers; texts are equal when their recipes are and,
+as a check, the SHA-256 of the whole texts.  No text is shuffled, only recipes, which are a tenth of their texts or less.
+Groups of more than ``HOT`` rows (and so at most a bounded number) are joined back by broadcast, so that one
+text that a third of all rows have is no single task's work.
 
 Defined results: null equals empty; ids that are null never win against others; rows repeated with id and text are
-separate rows of which one stays; an empty table gives an empty result.  Hot groups are counted on the map side.
+separate rows of which one stays; an empty table gives an empty result; other columns are kept whatever their names.  A
+text of any length is chunked as a whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, table
+from .common import checkpoint, fresh, join_back, table
 
 CHUNK_MIN, CHUNK_MAX = 192, 2048
 _CHUNKS = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX - 1}}}?[.!?\n]|.{{1,{CHUNK_MAX}}}"
@@ -30,25 +32,24 @@ def normalised(text):
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 and recipe: the verified identifiers of each text's chunks, in order.  Checkpointed."""
+    """doc_id, text_sha256 and recipe: the identifiers of each text's chunks, in order."""
     chunks = docs.select("doc_id", normalised(F.col("text")).alias("_t")).select(
         "doc_id", F.sha2("_t", 256).alias("text_sha256"), F.regexp_extract_all("_t", F.lit(_CHUNKS), F.lit(0)).alias("_c")
     )
-    made = checkpoint(
-        chunks.select("doc_id", "text_sha256", F.transform("_c", lambda c: F.struct(F.xxhash64(c).alias("k"), F.xxhash64(F.lit(7), c, F.length(c)).alias("v"))).alias("_r"))
-    )
-    seen = made.select(F.explode("_r").alias("x")).groupBy("x.k").agg(F.min("x.v").alias("a"), F.max("x.v").alias("b"))
-    unique = seen.where("a <> b").isEmpty()
-    return made.select("doc_id", "text_sha256", (F.col("_r.k") if unique else F.col("_r")).alias("recipe"))
+    identifier = lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 32))
+    return chunks.select("doc_id", "text_sha256", F.transform("_c", identifier).alias("recipe"))
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = recipes(docs).groupBy("recipe", "doc_id").agg(F.count("*").alias("copies"), F.first("text_sha256").alias("text_sha256"))
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    return rows.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")
-    ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == 1)).alias("kept"), "text_sha256")
+    made = checkpoint(recipes(docs))
+    rows = made.groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("copies"))
+    groups = made.groupBy("recipe", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    joined = join_back(rows, groups, ["recipe", "text_sha256"], "group_size", made.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == 1)
+    return joined.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).select(
+        "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"
+    )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Packing only depends on how many pieces there are of each length, and lengths end at the capacity, so the instance is
 a histogram of at most ``capacity`` numbers however large the corpus.  On it, sets of pieces that dominate every other
-set with the same longest piece are fixed for good (a piece that fits with nothing; a pair that fills a sequence; the
-largest partner where no third piece can fit), each as often as the counts allow; what is left is packed best-fit
-decreasing, whole classes of equal sequences at a time.  The plan says, for each length, which ranks go to which
+set with the same longest piece are fixed for good, each as often as the counts allow: a piece that fits with nothing;
+a pair that fills a sequence; the largest partner where no two others are larger together; that partner and the largest
+third piece where no pair has a larger second.  What is left is packed best-fit decreasing, whole classes of equal
+sequences at a time.  ``lower_bound`` tells how many sequences any packing needs.  The plan says, for each length, which ranks go to which
 sequences at which offset.  Ranks are counted within partitions and shifted by the counts of those before, so that a
 length which a third of all pieces have is no single task's work.
 
@@ -81,6 +82,66 @@ def reduce_by_dominance(left: np.ndarray, capacity: int, plan: list) -> None:
                     left[partner] -= m
                     plan.append(((long, partner), m))
                     changed = True
+                continue
+            if third := _dominating(left, long, rest):
+                m = _times(left, (long, *third))
+                for x in (long, *third):
+                    left[x] -= m
+                plan.append(((long, *third), m))
+                changed = True
+
+
+def _times(left: np.ndarray, lengths: tuple[int, ...]) -> int:
+    """How often a set can be taken."""
+    return min(int(left[x]) // lengths.count(x) for x in set(lengths))
+
+
+def _dominating(left: np.ndarray, long: int, rest: int) -> tuple[int, ...]:
+    """The one or two pieces that, beside ``long``, dominate all others that fit in ``rest``; () where none surely do.
+
+    A set dominates another if the other's pieces can be dealt to its own, each getting no more than its length.  Only
+    where no three pieces fit: then the others are single pieces and pairs.
+    """
+    left = left.copy()
+    left[long] -= 1
+    small = np.flatnonzero(left[: rest + 1])
+    least, need = 0, 3
+    for x in small[:3]:
+        n = min(int(left[x]), need)
+        least, need = least + n * int(x), need - n
+    if not need and least <= rest:
+        return ()
+    top = int(small[-1])
+    # the largest partner of each piece (itself only if there are two)
+    spot = np.searchsorted(small, rest - small, "right") - 1
+    same = (spot >= 0) & (small[np.maximum(spot, 0)] == small) & (left[small] < 2)
+    spot = np.where(same, spot - 1, spot)
+    pair = spot >= 0
+    other = small[np.maximum(spot, 0)]
+    if not pair.any() or int((small + other)[pair].max()) <= top:
+        return (top,)  # no two others are larger together
+    if not pair[-1]:
+        return ()
+    second = int(other[-1])
+    if int(np.minimum(small, other)[pair].max()) <= second:
+        return top, second
+    return ()
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """The least number of sequences that counts[length] pieces can need: for each threshold, the pieces that leave no
+    room for it, those above half that go alone, and the room that the others still lack (Martello and Toth's L2)."""
+    n = np.array(counts[: capacity + 1], np.int64)
+    size = np.arange(len(n))
+    many, total = np.cumsum(n), np.cumsum(n * size)
+    best = -(-int(total[-1]) // capacity)
+    for t in range(capacity // 2 + 1):
+        alone = int(many[-1] - many[capacity - t])  # longer than what t leaves
+        half = int(many[capacity - t] - many[capacity // 2])
+        between = int(total[capacity - t] - total[capacity // 2])
+        small = int(total[capacity // 2] - (total[t - 1] if t else 0))
+        best = max(best, alone + half + max(0, -(-(small - (half * capacity - between)) // capacity)))
+    return best
 
 
 def best_fit(left: np.ndarray, capacity: int, plan: list) -> None:

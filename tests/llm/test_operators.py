@@ -242,21 +242,30 @@ def test_packing_is_optimal_on_small_instances():
         place(0, [])
         return best
 
-    near = 0
-    for _ in range(60):
+    def reduced(counts):
+        fixed = []
+        packing.reduce_by_dominance(counts.copy(), 20, fixed)
+        return fixed
+
+    near = triples = 0
+    for _ in range(150):
         items = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
         counts = np.bincount(items, minlength=21)
         plan = packing.pack_histogram(counts, 20)
         placed = sorted((x for lengths, m in plan for x in lengths * m), reverse=True)
         assert placed == items and all(sum(x) <= 20 for x, _ in plan)
         n, best = sum(m for _, m in plan), optimum(items, 20)
-        assert best <= n <= best + 1
+        assert packing.lower_bound(counts, 20) <= best <= n <= best + 1
+        triples += any(len(x) == 3 for x, _ in reduced(counts))
         near += n == best
         fixed, left = [], counts.copy()
         packing.reduce_by_dominance(left, 20, fixed)
         rest = [x for x in range(20, 0, -1) for _ in range(left[x])]
         assert sum(m for _, m in fixed) + (optimum(rest, 20) if rest else 0) == best  # what is fixed costs nothing
-    assert near >= 55
+    assert near >= 140 and triples > 0
+    whole = np.bincount(np.random.default_rng(2).integers(1, 4097, 20_000), minlength=4097)
+    used, bound = sum(m for _, m in packing.pack_histogram(whole, 4096)), packing.lower_bound(whole, 4096)
+    assert bound <= used <= bound * 1.01
 
 
 def test_exact_dedup(docs, rows, odd, none):
