@@ -46,10 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
     return current.get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, tidy_up: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    Shuffle files that only the cut lineage needed go once the driver collects its garbage, so that is done here.
+    Shuffle files that only the cut lineage needed go once the driver collects its garbage, so that is done here, unless
+    what was cut is small.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
@@ -57,16 +58,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     out = df.checkpoint(eager=True)
     del df
+    if not tidy_up:
+        return out
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a compressed table in the shared folder: for columns that repeat much."""
+    """Cut the lineage with a compressed table in the shared folder: for columns that repeat much, and in loops, as what
+    the planner infers of a checkpoint's columns grows with each round."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Groups of more rows than HOT, and than the HOT_KEYS-th part of all rows, are joined back by broadcast: at most
@@ -78,18 +82,25 @@ def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, to
     """``rows`` joined with one row of ``groups`` for each key (equal nulls too), without one task for a hot key.
 
     ``size``: the column of ``groups`` with a key's number of rows; ``total``: the number of all rows.  There are fewer
-    than total / limit groups above the limit, so what is broadcast has HOT_KEYS rows at most.
+    than total / limit groups above the limit, so what is broadcast has HOT_KEYS rows at most.  Their rows pass the
+    shuffle of the others dealt by their own contents.
     """
     limit = max(HOT, total // HOT_KEYS)
-    other = groups.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), *(c for c in groups.columns if c not in keys))
-    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
-    hot = other.where(F.col(size) > limit)
-    if hot.isEmpty():
-        return rows.join(other, same).drop(*(f"_g{i}" for i in range(len(keys))))
-    names = F.broadcast(hot.select(*(f"_g{i}" for i in range(len(keys)))))
-    some = rows.join(F.broadcast(hot), same)
-    rest = rows.join(names, same, "left_anti").join(other.where(F.col(size) <= limit), same)
-    return some.unionByName(rest).drop(*(f"_g{i}" for i in range(len(keys))))
+    groups = checkpoint(groups, tidy_up=False)
+    if groups.where(F.col(size) > limit).isEmpty():
+        other = groups.select(*(F.col(c).alias(f"_g{i}") if (i := keys.index(c) if c in keys else -1) >= 0 else F.col(c) for c in groups.columns))
+        return rows.join(other, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]).drop(*(f"_g{i}" for i in range(len(keys))))
+    values = [c for c in groups.columns if c not in keys]
+    named = lambda tag: [F.col(k).alias(f"_{tag}{i}") for i, k in enumerate(keys)] + [F.col(c).alias(f"_{tag}_{c}") for c in values]
+    same = lambda tag: [F.col(k).eqNullSafe(F.col(f"_{tag}{i}")) for i, k in enumerate(keys)]
+    hot = groups.where(F.col(size) > limit).select(*named("h"))
+    cold = groups.where(F.col(size) <= limit).select(*named("c"), F.lit(0).alias("_none"))
+    deal = F.when(F.col(f"_h_{size}").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)) + 1).otherwise(0).cast("int")
+    first = rows.join(F.broadcast(hot), same("h"), "left").withColumn("_deal", deal)
+    both = first.join(cold, [*same("c"), F.col("_deal") == F.col("_none")], "left")
+    found = both.where(F.col(f"_h_{size}").isNotNull() | F.col(f"_c_{size}").isNotNull())
+    pick = [F.when(F.col(f"_h_{size}").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in values]
+    return found.select(*(F.col(c) for c in rows.columns), *pick)
 
 
 @contextlib.contextmanager

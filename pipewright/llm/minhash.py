@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import SPACES, checkpoint, mix, records_per_batch, slices, span_hasher, table, text_view, tidy, trim, words
+from .common import SPACES, checkpoint, join_back, mix, records_per_batch, slices, span_hasher, stored, table, text_view, tidy, trim, words
 
-WORDS, SIMILARITY, K, ROWS, ROUNDS, TILE = 5, 0.8, 96, 4, 2, 512
+WORDS, SIMILARITY, K, ROWS, ROUNDS, TILE, SHARE = 5, 0.8, 96, 4, 2, 512, 512
 _MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -171,7 +171,16 @@ def similarity(a: bytes, b: bytes, counts: bool = False) -> float:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
-    """The pairs (x, y) that are similar enough."""
+    """The pairs (x, y) of a leader and a member that are similar enough.
+
+    A leader may have very many members: they are dealt into shares of ``SHARE``, each with a copy of its set.
+    """
+    pairs = checkpoint(pairs, tidy_up=False)
+    sizes = pairs.groupBy("x").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("y"), F.ceil(F.col("n") / SHARE)).cast("int").alias("share")
+    dealt = join_back(pairs, sizes, ["x"], "n", pairs.count()).select("x", "y", share)
+    shares = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SHARE).cast("int") - 1)).alias("share")
+    leaders = sizes.join(sets.select(F.col("id").alias("x"), F.col("body").alias("p")), "x").select("x", "p", shares)
 
     def run(batches):
         for b in batches:
@@ -182,8 +191,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, counts: bool)
                 ok.append((counts or small >= threshold * large - 1e-6) and similarity(p, q, counts) >= threshold)
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("id").alias("y"), F.col("body").alias("q")), "y")
-    return one.join(sets.select(F.col("id").alias("x"), F.col("body").alias("p")), "x").select("x", "y", "p", "q").mapInArrow(tidy(run), "x long, y long")
+    one = dealt.join(sets.select(F.col("id").alias("y"), F.col("body").alias("q")), "y")
+    return one.join(leaders, ["x", "share"]).select("x", "y", "p", "q").mapInArrow(tidy(run), "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,18 +202,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def least(e):
-        return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
 
-    e = checkpoint(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
-    seen = None
+    e = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
+    seen, total = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = join_back(both, least(both), ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = least(small)
-        e = small.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = checkpoint(e)
+        e = join_back(small, low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        e = stored(e)
         state = e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        total = state[0]
         if state == seen:
             return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
         seen = state
@@ -212,10 +222,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _crowd_links(now: DataFrame, mixed: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
     """Links (x, y) between different labels among the members of mixed buckets, from all pairs of tiles of a crowd."""
-    star = now.join(mixed.select("key", "lead"), "key").select(F.col("lead.id").alias("x"), F.col("id").alias("y")).where("x <> y")
+    star = join_back(now, mixed.select("key", "lead", "n"), ["key"], "n", now.count()).select(F.col("lead.id").alias("x"), F.col("id").alias("y")).where("x <> y")
     crowds = components(star)
-    tiles = crowds.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
-    mine = crowds.join(tiles, "label").select("id", F.col("label").alias("crowd"), "n", F.pmod(F.xxhash64("id"), "n").cast("int").alias("own"))
+    tiles = crowds.groupBy("label").agg(F.count("*").alias("members"))
+    n = F.ceil(F.col("members") / TILE).cast("int")
+    mine = join_back(crowds, tiles, ["label"], "members", crowds.count()).select("id", F.col("label").alias("crowd"), n.alias("n"), F.pmod(F.xxhash64("id"), n).cast("int").alias("own"))
     own = mine.join(now.select("id", "label").distinct(), "id").join(sets, "id")
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "body")
 
@@ -259,31 +270,34 @@ def _crowd_links(now: DataFrame, mixed: DataFrame, sets: DataFrame, threshold: f
 def near_groups(docs: DataFrame, threshold: float = SIMILARITY, counts: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest id of its group of near-duplicates) and same_id (of its class of equal shingles)."""
     made = checkpoint(signatures(docs, counts))
-    classes = made.where("a is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    classes = made.where("a is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     met = classes.select("id", F.explode("bands").alias("key"))
-    crowded = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = checkpoint(met.join(crowded, "key"))
+    crowded = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpoint(join_back(met, crowded, ["key"], "n", made.count() * (K // ROWS)).select("key", "id"))
     sets = checkpoint(_sets(docs, members.select("id").distinct(), counts))
     labels = links = None
     for r in range(rounds + 1):
         now = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("lead"))
+        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("lead"), F.count("*").alias("n"))
         mixed = mixed.where("low <> high")
         if r == rounds:
             found = checkpoint(_crowd_links(now, mixed, sets, threshold, counts))
         else:
-            pairs = now.join(mixed.select("key", "lead"), "key").where("label <> lead.label").select(F.col("lead.id").alias("p"), F.col("id").alias("q"))
-            pairs = pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+            pairs = join_back(now, mixed.select("key", "lead", "n"), ["key"], "n", now.count()).where("label <> lead.label")
+            pairs = pairs.select(F.col("lead.id").alias("x"), F.col("id").alias("y")).distinct()
             with records_per_batch(docs.sparkSession, 256):  # two sets a row
                 found = checkpoint(_verified(pairs, sets, threshold, counts))
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    same = made.join(classes.select("a", "b", "id"), ["a", "b"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("same_id"))
-    if labels is not None:
-        same = same.join(labels.select(F.col("id").alias("same_id"), "label"), "same_id", "left")
-    grouped = same.select("doc_id", F.coalesce("label", "same_id").alias("class_id") if labels is not None else F.col("same_id").alias("class_id"), "same_id")
+    named = made.where("a is not null").select("doc_id", "a", "b")
+    bare = made.where("a is null").select("doc_id", F.col("doc_id").alias("same_id"))
+    bare = bare.withColumn("class_id", F.col("same_id")).select("doc_id", "class_id", "same_id")
+    known = classes.select("a", "b", "id", "n")
+    known = known.withColumn("label", F.col("id")) if labels is None else known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    same = join_back(named, known, ["a", "b"], "n", named.count())
+    grouped = same.select("doc_id", F.col("label").alias("class_id"), F.col("id").alias("same_id")).unionByName(bare)
     unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("same_id"))
     return grouped.unionByName(unnamed)
 

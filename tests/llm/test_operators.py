@@ -451,3 +451,33 @@ def test_held_out_accuracy(spark):
     for module, name in ((toxicity, "toxic"), (quality, "quality")):
         rows = [r for r in module.query(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
         assert np.mean([r.predicted == labels[r.doc_id][name] for r in rows]) > 0.9
+
+
+def test_crowds_of_several_tiles(spark, monkeypatch):
+    """Hot buckets, hot leaders and crowds of more than one tile lose no link either."""
+    from pipewright.llm import common
+
+    for module, name, n in ((common, "HOT", 4), (minhash, "TILE", 8), (minhash, "SHARE", 4)):
+        monkeypatch.setattr(module, name, n)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(80)] = f"x{rng.randrange(900)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, rows[3][1]) for i in range(20)] + [(200 + i, " ".join(f"y{i}z{k}" for k in range(30))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, 2):
+        got = {r.doc_id: r.class_id for r in minhash.near_groups(docs, rounds=rounds).collect()}
+        assert got == brute_groups(rows)
+
+
+def test_exact_dedup_of_a_hot_text(spark, monkeypatch):
+    from pipewright.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = [(i, "the same" if i % 3 else f"own {i}" + " x" * 3000) for i in range(60)] + [(None, "The Same")]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (59, 41, i == 59) if i is None or i % 3 else (i, 1, True) for i, _ in rows}
