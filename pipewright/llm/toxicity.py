@@ -4,7 +4,9 @@ Features are the distinct words of a text and their prefixes of 4 and 5 bytes, h
 inflected forms share evidence.  Training takes a bounded sample of labelled rows (``max_per_class``), keeps the
 columns that separate the classes best, and fits a logistic regression with three penalties: L2, an L1 step that
 zeroes weak columns, and the counterfactual term ``fairness * mean((z(x) - z(swap(x)))**2)``, in which ``swap``
-replaces every identity term of a labelled text by another one.  Scoring is one pass over the corpus without a
+replaces every identity term of a labelled text by another one of its group.  Where no labelled text has such a term the
+penalty is nothing, and the model a plain logistic regression.  At most ``max_columns`` columns are fitted, those whose
+shares in the classes differ by more than 1.5 standard errors.  Scoring is one pass over the corpus without a
 shuffle; the model is a fixed-size table.
 
 Defined results: a null or empty text has no feature and gets the score of the intercept; a null id is never held
@@ -24,13 +26,12 @@ from .common import NON_ALNUM, held_out, slices, span_hasher, table, text_view,
 
 BITS = 20
 
-#: Identity terms that take each other's place; fixed values, lower case.
-IDENTITY_TERMS = (
-    "woman", "women", "man", "men", "gay", "lesbian", "straight", "trans", "black", "white", "asian", "latino",
-    "muslim", "jewish", "christian", "hindu", "buddhist", "atheist", "immigrant", "refugee", "disabled", "blind", "deaf",
-    "old", "young", "frau", "mann", "schwarz", "weiß", "muslimisch", "jüdisch", "christlich", "femme", "homme",
-    "noir", "blanc", "musulman", "juif", "chrétien", "mujer", "hombre", "negro", "blanco", "musulmán", "judío",
-    "cristiano",
+#: Identity terms that take each other's place, by group and language; fixed values, lower case.
+IDENTITY_GROUPS = (
+    ("woman", "man"), ("women", "men"), ("gay", "lesbian", "straight", "trans"), ("black", "white", "asian", "latino"),
+    ("muslim", "jewish", "christian", "hindu", "buddhist", "atheist"), ("immigrant", "refugee"), ("disabled", "blind", "deaf"), ("old", "young"),
+    ("frau", "mann"), ("schwarz", "weiß"), ("muslimisch", "jüdisch", "christlich"), ("femme", "homme"), ("noir", "blanc"),
+    ("musulman", "juif", "chrétien"), ("mujer", "hombre"), ("negro", "blanco"), ("musulmán", "judío", "cristiano"),
 )
 
 
@@ -63,9 +64,10 @@ def columns_of(text: str) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
-def swapped(text: str, terms: tuple[str, ...] = IDENTITY_TERMS) -> str:
-    """The text with each identity term replaced by the next one in ``terms``."""
-    following = dict(zip(terms, terms[1:] + terms[:1], strict=True))
+def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> str:
+    """The text in lower case, with each identity term replaced by the next one of its group.  Words end where letters
+    and digits do, so that marks beside a term do not hide it."""
+    following = {a: b for g in groups for a, b in zip(g, g[1:] + g[:1], strict=True)}
     out, word = [], []
     for c in (text or "").lower() + "\0":
         if c.isalnum():
@@ -110,16 +112,14 @@ def lowest(labelled: DataFrame, n: int, seed: int) -> DataFrame:
 def _sample(labelled: DataFrame, max_per_class: int, seed: int):
     """A bounded sample of each class, lowest hash first: (columns, label, columns of the swapped text or None)."""
     parts = [lowest(labelled.where(F.col("label") == c), max_per_class, seed) for c in (0, 1)]
-    terms = set(IDENTITY_TERMS)
-
     def extract(batches):
         for b in batches:
             out = []
             for text in b.column("text").to_pylist():
                 text = text or ""
                 mine = columns_of(text)
-                has = any(w in terms for w in text.lower().split())
-                out.append((mine.astype(np.int32).tobytes(), columns_of(swapped(text)).astype(np.int32).tobytes() if has else None))
+                other = swapped(text)
+                out.append((mine.astype(np.int32).tobytes(), columns_of(other).astype(np.int32).tobytes() if other != text.lower() else None))
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
                 ["label", "cols", "swap"],
