@@ -3,13 +3,17 @@
 A text is the list of its words (runs without white space).  A window of K = 4 words, each of them an inner substring
 of s = 1 word, is a closed syncmer when its smallest word hash is at an edge; whether it is depends on the window
 alone, so that edits elsewhere move no anchor.  The fingerprint is the 64 smallest distinct anchor hashes of 31 bits,
-as hex; a text without a closed syncmer, as any of fewer than K words, has one anchor, the hash of all its words.  The likeness of two texts is the Dice
-coefficient of all their anchors, in which the k-th occurrence of an anchor in one text matches the k-th in the other;
-two empty texts have 1.  The order of different anchors does not count.
+as hex; a text without a closed syncmer, as any of fewer than K words, has one anchor, the hash of all its words.
+
+Two texts are compared by positional matching of all their anchors: the k-th occurrence of an anchor in one matches the
+k-th in the other, and of the matches, in the order of the first text, those count that lie in the second text behind the
+match before them (the first one counts).  The likeness is the Dice coefficient of what counts; two empty texts have 1.
 
 ``next`` is the next document in descending doc_id order (null ids last, equal ids by a hash of the text; after the
 last comes the first).  Rows repeated with id and text count as one document there and get equal results.  The order
 is found on ids alone, by ranges; a text is moved once, and as much of it as its predecessor's edit takes once more.
+Null texts are empty; an empty table gives an empty result; other columns are not looked at; a text of any length is
+fingerprinted as a whole, in one row.
 """
 
 from __future__ import annotations
@@ -49,36 +53,63 @@ def syncmers(text):
     )
 
 
+_LOW = (1 << 32) - 1
+
+
 def anchors(text):
-    """The hashes of all anchors of a text, ascending, each as often as it occurs."""
-    none = F.array().cast("array<int>")
-    found = lambda h: F.when(F.size(h) >= K, F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _anchor(h, i))))).otherwise(none)
-    whole = lambda h: F.when(F.size(h) > 0, F.array(F.shiftrightunsigned(F.xxhash64(h), 33).cast("int"))).otherwise(none)
+    """All anchors of a text as hash * 2**32 + position (of the first word), ascending."""
+    none = F.array().cast("array<long>")
+    placed = lambda hash_, at: F.shiftleft(hash_.cast("long"), 32) + at
+    found = lambda h: F.when(
+        F.size(h) >= K, F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: placed(_anchor(h, i), i))))
+    ).otherwise(none)
+    whole = lambda h: F.when(F.size(h) > 0, F.array(placed(F.shiftrightunsigned(F.xxhash64(h), 33), F.lit(0)))).otherwise(none)
     return _let(_hashes(text), lambda h: _let(found(h), lambda a: F.when(F.size(a) > 0, a).otherwise(whole(h))))
 
 
-def sketch(hashes):
+def sketch(placed):
     """The smallest distinct hashes of ``anchors``, ascending: the printed digest."""
-    return F.slice(F.array_distinct(hashes), 1, SIZE)
+    return F.slice(F.array_distinct(F.transform(placed, lambda x: F.shiftright(x, 32).cast("int"))), 1, SIZE)
 
 
-def numbered(hashes):
-    """The hashes of ``anchors`` as distinct numbers: the k-th occurrence of a hash is hash * 2**32 + k, k from 0."""
-    starts = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
-    run = lambda h, at: F.flatten(
-        F.transform(at, lambda i, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(h)) - i - 1), lambda k: F.shiftleft(F.get(h, i).cast("long"), 32) + k))
+def numbered(placed):
+    """The distinct numbers of ``anchors``, ascending: the k-th occurrence of a hash is hash * 2**32 + k, k from 0; and
+    their positions, as struct<n, p>."""
+    hash_ = lambda a, i: F.shiftright(F.get(a, i), 32)
+    starts = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (hash_(a, i) != hash_(a, i - 1)))
+    run = lambda a, at: F.flatten(
+        F.transform(at, lambda i, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(a)) - i - 1), lambda k: F.shiftleft(hash_(a, i), 32) + k))
+    )
+    none = F.array().cast("array<long>")
+    return _let(
+        placed,
+        lambda a: F.struct(
+            F.when(F.size(a) > 0, _let(starts(a), lambda at: run(a, at))).otherwise(none).alias("n"), F.transform(a, lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("p")
+        ),
     )
-    return _let(hashes, lambda h: F.when(F.size(h) > 0, _let(starts(h), lambda at: run(h, at))).otherwise(F.array().cast("array<long>")))
 
 
 def as_text(numbers):
     return F.array_join(F.transform(numbers, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
+def matches(a, b):
+    """array<long>: position in the first text * 2**32 + position in the second, ascending, of all anchors that match."""
+    # both lists of distinct numbers, sorted together, with where they came from: equal neighbours match
+    tagged = lambda x, k: F.transform(x["n"], lambda n, i: F.struct(n.alias("n"), F.lit(k).alias("k"), F.get(x["p"], i).alias("p")))
+    pairs = lambda s: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.get(s, i)["n"] == F.get(s, i - 1)["n"]),
+        lambda i: F.shiftleft(F.get(s, i - 1)["p"].cast("long"), 32) + F.get(s, i)["p"],
+    )
+    return F.sort_array(_let(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), pairs))
+
+
 def likeness(a, b):
-    """0 to 1: the Dice coefficient of all anchors, from two arrays of ``numbered``."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / F.greatest(total, F.lit(1)))
+    """0 to 1: the Dice coefficient of the anchors that match in order, from two columns of ``numbered``."""
+    total = F.size(a["n"]) + F.size(b["n"])
+    second = lambda x: x.bitwiseAND(F.lit(_LOW))
+    inline = lambda m: F.size(F.filter(m, lambda x, i: (i == 0) | (second(x) > second(F.get(m, i - 1)))))
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * _let(matches(a, b), inline) / F.greatest(total, F.lit(1)))
 
 
 def following(keys: DataFrame) -> DataFrame:

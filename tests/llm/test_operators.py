@@ -304,14 +304,28 @@ def test_likeness_is_of_all_anchors(spark):
     rng = random.Random(8)
     long = [f"w{rng.randrange(3000)}" for _ in range(3000)]
     near = [*long[:1500], "one", "two", "three", *long[1503:]]
-    texts = [(3, " ".join(long)), (2, " ".join(near)), (1, "a b c d e f g " * 50), (0, "a b c d e f g " * 20)]
+    turned = [w for k in range(0, 3000, 20) for w in long[2980 - k : 3000 - k]]
+    texts = [(4, " ".join(turned)), (3, " ".join(long)), (2, " ".join(near)), (1, "a b c d e f g " * 50), (0, "a b c d e f g " * 20)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    count = {r.doc_id: Counter(s.hash for s in r.s) for r in docs.select("doc_id", fingerprint.syncmers(fingerprint.F.col("text")).alias("s")).collect()}
-    dice = lambda a, b: 2 * (a & b).total() / (a.total() + b.total())
+    found = {r.doc_id: r.s for r in docs.select("doc_id", fingerprint.syncmers(fingerprint.F.col("text")).alias("s")).collect()}
+
+    def places(syncmers):
+        seen, out = Counter(), {}
+        for s in syncmers:
+            out[s.hash, seen[s.hash]] = s.position
+            seen[s.hash] += 1
+        return out
+
+    count = {d: places(s) for d, s in found.items()}
+
+    def dice(a, b):
+        both = sorted((a[k], b[k]) for k in a if k in b)
+        return 2 * sum(i == 0 or both[i][1] > both[i - 1][1] for i in range(len(both))) / (len(a) + len(b))
+
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
-    for a, b in ((3, 2), (2, 1), (1, 0), (0, 3)):
+    for a, b in ((4, 3), (3, 2), (2, 1), (1, 0), (0, 4)):
         assert abs(got[a].near_next - dice(count[a], count[b])) < 1e-12
-    assert 0.9 < got[3].near_next < 1 and got[1].near_next < 0.7 and len(got[3].fingerprint) == 64 * 8
+    assert got[4].near_next < 0.8 and 0.9 < got[3].near_next < 1 and got[1].near_next < 0.7 and len(got[3].fingerprint) == 64 * 8
 
 
 def test_short_texts_have_an_anchor(spark):
@@ -427,6 +441,10 @@ def test_toxicity(spark):
     scores = np.array([r.score for r in toxicity.score(data.where("doc_id >= 450"), fair).orderBy("doc_id").collect()])
     truth = np.array([r[2] for r in rows[450:]])
     assert ((scores >= 0.5) == truth).mean() > 0.95
+    assert toxicity.swapped("All women, and (Men).") == "all men, and (women)." and toxicity.swapped("jüdisch!") == "christlich!" and toxicity.swapped("Plain") == "plain"
+    assert toxicity.score(data.limit(0), fair).count() == 0
+    twice = toxicity.score(data.limit(1).unionByName(data.limit(1)).withColumn("score", data.label), fair, ("doc_id", "score"), "_s").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
     gap = lambda m: abs(np.subtract(*m.score_batch(pa.array(["my muslim neighbour", "my christian neighbour"]))))
     assert gap(fair) < 0.5 * gap(free) + 1e-6
     odd = toxicity.score(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"), fair).collect()
