@@ -2,7 +2,7 @@
 
 Every line of a text is a candidate when it shares a content word with a template; all others have cosine 0.  Equal
 candidates are scored once, under a key of 128 bits of their hash.  Document frequencies are counted over all lines
-that have a content word; with ``candidates_only`` over the candidate lines, as op8's SQL has it.  A line's licence is
+that have a content word.  A line's licence is
 the template of the highest cosine, if that is ``THRESHOLD`` or more; a file's licence is that of its best line (ties:
 the smaller name).  A file's whole term vector is scored against the full texts in ``licence_texts`` too, with document
 frequencies over all files; at ``FILE_THRESHOLD`` or more it is a licence file of the best text's licence and score.  So
@@ -11,7 +11,8 @@ its directory (the best score, then the smaller name).  A file without a licence
 directory that has one, by an equi-join on all ancestors of its path.
 
 Defined results: null and empty texts have no licence of their own; a null path has no ancestors; rows repeated are
-scored alike and all returned; an empty table gives an empty result.  Scores are rounded to 6 digits.
+scored alike and all returned; an empty table gives an empty result; other columns are not looked at.  A text of any
+length is read as a whole, its lines as rows.  Scores are rounded to 6 digits.
 """
 
 from __future__ import annotations
@@ -122,10 +123,9 @@ def line_frequencies(files: DataFrame) -> tuple[DataFrame, int]:
     return counts.where("term is not null"), n.df if n else 0
 
 
-def scan(files: DataFrame, threshold: float = THRESHOLD, candidates_only: bool = False) -> DataFrame:
+def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``files`` (file_id, path, text) as file_id, path, license, score, origin.
 
-    candidates_only: count document frequencies over the candidate lines instead of all lines.
     origin: "header", "file" (a licence file), "inherited", or null without a licence.
     """
     spark = files.sparkSession
@@ -139,10 +139,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, candidates_only: bool =
     parts = found.where("line is not null").groupBy("key", "salt").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
     segments = parts.groupBy("key").agg(F.sum("n").alias("n"), F.any_value("line").alias("line"))
     terms = stored(segments.select("key", "n", F.explode(F.split("line", " ")).alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf")))
-    if candidates_only:
-        frequency, n = terms.groupBy("term").agg(F.sum("n").alias("df")), found.where("line is not null").count()
-    else:
-        frequency, n = line_frequencies(files)
+    frequency, n = line_frequencies(files)
     idf = lambda df: F.log((F.lit(1.0) + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0
     norms = terms.join(frequency, "term").groupBy("key").agg(F.sqrt(F.sum((F.col("tf") * idf(F.col("df"))) ** 2)).alias("norm"))
     template = template_terms(spark).join(frequency, "term", "left").select("template", "term", idf(F.col("df")).alias("idf"), (F.col("tf") * idf(F.col("df"))).alias("v"))
@@ -181,7 +178,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8 over ``documents``, as files source/lang/doc_id."""
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return scan(files, candidates_only=True).select(F.col("file_id").alias("doc_id"), "license", "score", "origin")
+    return scan(files).select(F.col("file_id").alias("doc_id"), "license", "score", "origin")
 
 
 def _sql() -> str:
@@ -198,8 +195,9 @@ found as (select doc_id, array_to_string(t, ' ') as line, len(t) as n from (sele
           where list_has_any(t, (select list(distinct term) from tt))),
 seg as (select line, count(*) as n from found group by line),
 terms as (select line, n, term, count(*) as tf from (select line, n, unnest(string_split(line, ' ')) as term from seg) group by all),
-df as (select term, sum(n) as df from terms group by term),
-total as (select coalesce(sum(n), 0) as n from seg),
+every as (select list_distinct({words('line')}) as t from lines),
+df as (select term, count(*) as df from (select unnest(t) as term from every) group by term),
+total as (select count(*) as n from every where len(t) > 0),
 w as (select line, t.term, tf * (ln((1.0 + total.n) / (1.0 + df)) + 1.0) as w from terms t join df using (term), total),
 v as (select template, tt.term, tf * (ln((1.0 + total.n) / (1.0 + coalesce(df, 0))) + 1.0) as v from tt left join df using (term), total),
 scored as (select line, template, round(dot / (norm * size), 6) as score
