@@ -416,6 +416,31 @@ def test_chat_repair():
             state = r
 
 
+def test_long_conversations_are_chains(spark, monkeypatch):
+    """Segments, ranges and conversations that cross them give what one pass over each conversation gives."""
+    monkeypatch.setattr(chat, "SEGMENT", 5)
+    rng, rows = random.Random(6), []
+    for c in [None, *range(12)]:
+        rows += [(c, k, rng.choice(["system", "user", "assistant", "tool", None]), f"t{c}.{k}") for k in range(rng.choice([1, 2, 4, 23, 60]))]
+    rows += [(50, None, "user", None), (50, None, "user", None)]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
+    got = {}
+    for r in sorted(chat.format_chats(turns.repartition(3)).collect(), key=lambda r: r.part):
+        n, cost, roles, text = got.get(r.conv_id, (0, 0, [], ""))
+        got[r.conv_id] = (n + r.n_turns, cost + r.cost, roles + (r.roles.split(",") if r.roles else []), text + r.rendered)
+    for c in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0))
+        cost, _ = chat.repair([r[2] or "" for r in mine])
+        n, total, roles, text = got[c]
+        assert (n, total) == (len(mine), cost), c
+        state = None
+        for r in roles:
+            assert r in chat.FOLLOWS[state]
+            state = r
+        assert text.count("<|end|>\n") == len(roles) == text.count("<|") - text.count("<|end|>")
+        assert [x for x in text.replace("<", "\n<").split("\n") if x.startswith("t")] == [r[3] for r in mine if r[3]]
+
+
 def test_chat_rendering(spark):
     turns = spark.createDataFrame([(1, 2, "Assistant", "b <|user|>"), (1, 1, "user", "a"), (2, 0, "assistant", None), (None, None, None, None)], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.cost, r.roles, r.rendered) for r in chat.format_chats(turns).collect()}
