@@ -43,9 +43,10 @@ def recipes(docs: DataFrame) -> DataFrame:
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     made = checkpoint(recipes(docs))
-    rows = made.groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("copies"))
-    groups = made.groupBy("recipe", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = join_back(rows, groups, ["recipe", "text_sha256"], "group_size", made.count())
+    digest = (F.xxhash64("recipe").alias("a"), F.xxhash64(F.lit(7), "recipe").alias("b"))  # what a recipe is joined by
+    rows = made.groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("copies")).select(*digest, "text_sha256", "doc_id", "copies")
+    groups = made.groupBy("recipe", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select(*digest, "text_sha256", "keep_id", "group_size")
+    joined = join_back(rows, groups, ["a", "b", "text_sha256"], "group_size", made.count())
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == 1)
     return joined.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"
