@@ -58,11 +58,15 @@ def checkpoint(df: DataFrame, tidy_up: bool = True) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     out = df.checkpoint(eager=True)
     del df
-    if not tidy_up:
-        return out
+    if tidy_up:
+        drop_shuffles(spark)
+    return out
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go once nothing on the driver points to them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -70,7 +74,10 @@ def stored(df: DataFrame) -> DataFrame:
     the planner infers of a checkpoint's columns grows with each round."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    del df
+    drop_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 #: Groups of more rows than HOT, and than the HOT_KEYS-th part of all rows, are joined back by broadcast: at most
