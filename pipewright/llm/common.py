@@ -77,7 +77,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     del df
     drop_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Groups of more rows than HOT, and than the HOT_KEYS-th part of all rows, are joined back by broadcast: at most
@@ -93,7 +101,6 @@ def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, to
     shuffle of the others dealt by their own contents.
     """
     limit = max(HOT, total // HOT_KEYS)
-    groups = checkpoint(groups, tidy_up=False)
     if groups.where(F.col(size) > limit).isEmpty():
         other = groups.select(*(F.col(c).alias(f"_g{i}") if (i := keys.index(c) if c in keys else -1) >= 0 else F.col(c) for c in groups.columns))
         return rows.join(other, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]).drop(*(f"_g{i}" for i in range(len(keys))))

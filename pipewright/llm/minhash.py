@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import SPACES, checkpoint, join_back, mix, records_per_batch, slices, span_hasher, stored, table, text_view, tidy, trim, words
+from .common import SPACES, checkpoint, discard, join_back, mix, records_per_batch, slices, span_hasher, stored, table, text_view, tidy, trim, words
 
 WORDS, SIMILARITY, K, ROWS, ROUNDS, TILE, SHARE = 5, 0.8, 96, 4, 2, 512, 512
 _MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -205,14 +205,16 @@ def components(edges: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
 
     e = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
-    seen, total = None, e.count()
+    seen, total, done = None, e.count(), e
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         e = join_back(both, least(both), ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = least(small)
         e = join_back(small, low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = stored(e)
+        before, e = done, stored(e)
+        done = e
+        discard(before)
         state = e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         total = state[0]
         if state == seen:

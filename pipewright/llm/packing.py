@@ -228,7 +228,7 @@ def worker_coder(path: str) -> tuple:
             return gather(np.concatenate(pools), (np.cumsum(sizes) - sizes)[which], sizes[which]), sizes[which]
 
         settings = json.loads(tokenizer.to_str())
-        cache = ChunkCache(encode, kinds=ascii_kinds() if parts_by_kind(settings) else None)
+        cache = ChunkCache(encode, 400_000, kinds=ascii_kinds() if parts_by_kind(settings) else None)
         _WORKER[path] = cache, lambda text: tokenizer.encode(text, add_special_tokens=False).ids, [t["content"] for t in settings.get("added_tokens") or ()]
     return _WORKER[path]
 
