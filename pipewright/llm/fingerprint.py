@@ -57,24 +57,22 @@ _LOW = (1 << 32) - 1
 
 
 def anchors(text):
-    """All anchors of a text as hash * 2**32 + position (of the first word), ascending."""
-    none = F.array().cast("array<long>")
-    placed = lambda hash_, at: F.shiftleft(hash_.cast("long"), 32) + at
-    found = lambda h: F.when(
-        F.size(h) >= K, F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: placed(_anchor(h, i), i))))
-    ).otherwise(none)
-    whole = lambda h: F.when(F.size(h) > 0, F.array(placed(F.shiftrightunsigned(F.xxhash64(h), 33), F.lit(0)))).otherwise(none)
+    """The hashes of all anchors of a text, in its order: the index of one is its place among them."""
+    none = F.array().cast("array<int>")
+    found = lambda h: F.when(F.size(h) >= K, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _anchor(h, i)))).otherwise(none)
+    whole = lambda h: F.when(F.size(h) > 0, F.array(F.shiftrightunsigned(F.xxhash64(h), 33).cast("int"))).otherwise(none)
     return _let(_hashes(text), lambda h: _let(found(h), lambda a: F.when(F.size(a) > 0, a).otherwise(whole(h))))
 
 
-def sketch(placed):
+def sketch(hashes):
     """The smallest distinct hashes of ``anchors``, ascending: the printed digest."""
-    return F.slice(F.array_distinct(F.transform(placed, lambda x: F.shiftright(x, 32).cast("int"))), 1, SIZE)
+    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SIZE)
 
 
-def numbered(placed):
+def numbered(hashes):
     """The distinct numbers of ``anchors``, ascending: the k-th occurrence of a hash is hash * 2**32 + k, k from 0; and
-    their positions, as struct<n, p>."""
+    their places, as struct<n, p>."""
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h.cast("long"), 32) + i))
     hash_ = lambda a, i: F.shiftright(F.get(a, i), 32)
     starts = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (hash_(a, i) != hash_(a, i - 1)))
     run = lambda a, at: F.flatten(
@@ -139,16 +137,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keyed = docs.select(nul.alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("kid"), F.xxhash64(text).alias("xh"), text.alias("text"))
     keys = checkpoint(keyed.groupBy("nul", "kid", "xh").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("copies")))
     unique = keys.where("copies > 1").isEmpty()
-    base = keyed.withColumn("fp", anchors(F.col("text")))
-    before = base.join(following(keys.drop("copies")), ["nul", "kid", "xh"]).select(
-        F.col("p_nul").alias("nul"), F.col("p_kid").alias("kid"), F.col("p_xh").alias("xh"), F.expr("left(text, need)").alias("head"), F.col("fp").alias("next_fp")
+    # texts are moved as they are: anchors hardly compress, and are found again where they are needed
+    before = keyed.join(following(keys.drop("copies")), ["nul", "kid", "xh"]).select(
+        F.col("p_nul").alias("nul"), F.col("p_kid").alias("kid"), F.col("p_xh").alias("xh"), F.expr("left(text, need)").alias("head"), anchors(F.col("text")).alias("next_fp")
     )
     if not unique:
         before = before.dropDuplicates(["nul", "kid", "xh"])
     n = F.char_length("text")
-    both = base.join(before, ["nul", "kid", "xh"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), "head"))
+    both = keyed.join(before, ["nul", "kid", "xh"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), "head"))
     done = both.select(
-        F.when(~F.col("nul"), F.col("kid")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", anchors(F.col("edited")).alias("ed_fp")
+        F.when(~F.col("nul"), F.col("kid")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("fp"), "next_fp", anchors(F.col("edited")).alias("ed_fp")
     )
     full = done.select(
         "doc_id", "n_chars", "edited_sha256", as_text(sketch(F.col("fp"))).alias("fingerprint"), as_text(sketch(F.col("ed_fp"))).alias("edited_fingerprint"),
