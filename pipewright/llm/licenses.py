@@ -83,6 +83,22 @@ def _counts(terms):
     return F.when(F.size(terms) > 0, _let(F.sort_array(terms), lambda s: _let(runs(s), lambda at: count(s, at))))
 
 
+def _heaviest(rows, share: float) -> set[str]:
+    """Of (template, term, v): for each template the heaviest terms until they are more than ``share`` of its square."""
+    by: dict[str, list] = {}
+    for r in rows:
+        by.setdefault(r["template"], []).append((r["v"] ** 2, r["term"]))
+    out = set()
+    for terms in by.values():
+        left = share * sum(v for v, _ in terms) * (1 + 1e-9)
+        for v, term in sorted(terms, reverse=True):
+            if left < 0:
+                break
+            out.add(term)
+            left -= v
+    return out
+
+
 def licence_files(files: DataFrame, threshold: float = FILE_THRESHOLD) -> DataFrame:
     """file_id, path, w (s: minus the cosine, template) of the files whose whole text is near to a licence's full text."""
     spark = files.sparkSession
@@ -93,10 +109,13 @@ def licence_files(files: DataFrame, threshold: float = FILE_THRESHOLD) -> DataFr
     idf = F.log((F.lit(1.0) + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
     full = stored(full_terms(spark).join(frequency, "term", "left").select("template", "term", idf.alias("idf"), (F.col("tf") * idf).alias("v")))
     sizes = full.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    # a text without any of a template's heaviest terms, which are more than 1 - threshold**2 of its square, is not near it
+    heavy = sorted(_heaviest(full.select("template", "term", "v").collect(), 1 - threshold**2))  # of the fixed table
+    some = F.arrays_overlap(_terms(F.col("text")), F.array(*map(F.lit, heavy)))
     # no cosine is above the share of known terms in a vector's length, and no idf of the others is below 1
     known = full.select("term", "idf").distinct()
     # the key is taken before the rows are spread: else it is computed again for every term
-    parts = texts.select("file_id", "path", _key("text").alias("key"), _counts(_terms(F.col("text"))).alias("terms")).select("file_id", "path", "key", F.inline("terms")).join(F.broadcast(known), "term", "left")
+    parts = texts.where(some).select("file_id", "path", _key("text").alias("key"), _counts(_terms(F.col("text"))).alias("terms")).select("file_id", "path", "key", F.inline("terms")).join(F.broadcast(known), "term", "left")
     square = F.col("tf") * F.col("tf")
     bound = parts.groupBy("file_id", "path", "key").agg(F.coalesce(F.sum(square * F.col("idf") * F.col("idf")), F.lit(0.0)).alias("a"), F.sum(F.when(F.col("idf").isNull(), square).otherwise(0)).alias("b"))
     salt = F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt")
