@@ -253,8 +253,8 @@ def _cut(p: Plan, low: int, high: int | None) -> Plan:
             return _limit(p, high)
         if high is not None:
             return replace(p, df=p.df.limit(high).offset(low)) if high > low else _limit(p, 0)
-        made = ranked(p)
-        return replace(p, df=made.where(F.col("_rank") >= low).drop("_rank"))
+        made = ranked(p).where(F.col("_rank") >= low)
+        return replace(p, df=(made.orderBy("_rank") if p.order else made).drop("_rank"))
     if not p.order:
         raise NotLowered("the end of an unsorted table: sort it first")
     if low < 0 and high is None:
@@ -263,7 +263,7 @@ def _cut(p: Plan, low: int, high: int | None) -> Plan:
     counted = ranked(p).crossJoin(F.broadcast(p.df.agg(F.count("*").alias("_n"))))  # one row
     at = lambda k: F.lit(k) if k >= 0 else F.col("_n") + k
     test = F.col("_rank") >= at(low)
-    return replace(p, df=counted.where(test if high is None else test & (F.col("_rank") < at(high))).drop("_rank", "_n"))
+    return replace(p, df=counted.where(test if high is None else test & (F.col("_rank") < at(high))).orderBy("_rank").drop("_rank", "_n"))
 
 
 def _nth(p: Plan, k: int) -> Plan:
@@ -276,24 +276,71 @@ def _nth(p: Plan, k: int) -> Plan:
 
 def ranked(p: Plan) -> DataFrame:
     """The rows with ``_rank``, their place from 0.  Ranges are sorted by themselves; only their sizes come together."""
-    return _by_range(p, F.count(F.lit(1)), lambda w: F.row_number().over(w) - 1, "_rank")
+    return _by_range(p, F.count(F.lit(1)), lambda w: F.row_number().over(w) - 1, "_rank").drop("_at")
 
 
 def _by_range(p: Plan, whole: Column, within, name: str) -> DataFrame:
-    """A running value: ``whole`` of each earlier range added to ``within(window)`` of a row's own range."""
+    """A running value: ``whole`` of each earlier range added to ``within(window)`` of a row's own range.  The rows come
+    in no order; of a sorted table, ``_at`` is their place in it.
+
+    Sizes and rows are two readings of the table, so a row's range must be the same in both: of a sorted table it is
+    found from its keys alone.
+    """
     if p.order:
         keys = _sort_columns(p.order)
-        dealt = p.df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
+        dealt = p.df.withColumn("_pid", _range_of(p))
     else:
         keys = [F.col("_mid")]
         dealt = p.df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     sizes = dealt.groupBy("_pid").agg(whole.alias("_w"))
     before = sizes.select("_pid", F.coalesce(F.sum("_w").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    own = dealt.withColumn("_own", within(Window.partitionBy("_pid").orderBy(*keys)))
+    window = Window.partitionBy("_pid").orderBy(*keys)
+    own = dealt.withColumn("_own", within(window)).withColumn("_at", F.struct("_pid", F.row_number().over(window).alias("n")))
     made = own.join(F.broadcast(before), "_pid").withColumn(name, F.col("_b") + F.col("_own"))  # one row for each range
     return made.drop("_pid", "_b", "_own", "_mid")
 
 
+#: Rows looked at for each bound between ranges.
+SAMPLED = 20
+
+
+def _range_of(p: Plan) -> Column:
+    """The number of a row's range in the table's order.  The bounds are constants of the plan: keys of a bounded sample,
+    which only decides how even the ranges are.  Keys after one that is no plain value are left out of them."""
+    order = []
+    for c, down in p.order:
+        kind = probe_of(p.df)(c)
+        name = kind.typeName() if kind is not None else ""
+        if name == "timestamp":  # no zone's clock in between
+            c = F.unix_micros(c)
+        elif name not in ("long", "integer", "short", "byte", "double", "float", "decimal", "string", "boolean", "date"):
+            break
+        order.append((c, down))
+    if not order:
+        return F.lit(0)
+    ranges = int(p.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = [(F.col(f"_k{i}"), down) for i, (_, down) in enumerate(order)]
+    sample = p.df.select(*(c.alias(f"_k{i}") for i, (c, _) in enumerate(order)), F.rand(0).alias("_r")).orderBy("_r").limit(SAMPLED * ranges).drop("_r")
+    found = [tuple(r) for r in sample.orderBy(*_sort_columns(named)).collect()][SAMPLED::SAMPLED]
+    bounds = [b for i, b in enumerate(found) if not i or b != found[i - 1]]
+
+    def after(bound) -> Column:
+        """Whether a row comes after a bound: null is the least value."""
+        test = F.lit(False)
+        for (c, down), v in reversed([*zip(order, bound, strict=True)]):
+            past = (F.lit(False) if v is None else c.isNull() | (c < F.lit(v))) if down else (c.isNotNull() if v is None else c > F.lit(v))
+            test = F.coalesce(past, F.lit(False)) | (c.eqNullSafe(F.lit(v)) & test)
+        return test
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(after(bounds[mid]), search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, len(bounds))
+
+
 def _unique_by(p: Plan, keys: list[Column]) -> Plan:
     """The first row of each key, found by a partial aggregation, not a window."""
     whole = F.struct(*(F.col(f"`{c}`") for c in p.df.columns))
@@ -321,12 +368,16 @@ def _array_call(p: Plan, t, steps, i, x: Context, s) -> tuple[Plan, int]:
         return replace(p, df=df.orderBy(*_sort_columns(p.order, flip=True)), order=tuple((c, not down) for c, down in p.order)), 1
     if name in ("limit", "skip", "first", "last", "nth", "isempty") and n and (name, n) != ("nth", 1):
         k = _number(args[0], None) if n == 2 else None
-        source = _steps(p, steps_of(args[-1]), x)
+        inner = args[-1]
+        past = _number(inner[2][0], None) if name == "limit" and inner[:2] == ("call", "skip") and len(inner[2]) == 2 and k >= 0 else -1
+        source = _steps(p, steps_of(inner[2][1] if past >= 0 else inner), x)
         if source.array:
             raise NotLowered(f"{name} of one array")
         rows = replace(source, array=True)
         if name == "isempty":
             return Plan(source.df.limit(1).agg((F.count("*") == 0).alias("value")), False), 1
+        if past >= 0:  # limit(k; skip(n; f)) is the slice [n, n + k)
+            return replace(_cut(rows, past, past + k), array=False), 1
         made = {
             "limit": lambda: _limit(rows, k), "skip": lambda: _cut(rows, k, None), "first": lambda: _limit(rows, 1), "last": lambda: _nth(rows, -1), "nth": lambda: _nth(rows, k),
         }[name]()
@@ -578,7 +629,7 @@ def _foreach(p: Plan, t, x: Context) -> Plan:
     addend = _addend(t[4], inner)
     if addend is None:
         raise NotLowered("this fold is no sum")
-    made = _by_range(p, F.sum(addend), lambda w: F.sum(addend).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_state")
+    made = _by_range(p, F.sum(addend), lambda w: F.sum(addend).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_state").orderBy("_at")
     state = F.col("_state") + F.lit(t[3][1])
     out = compile_column(t[5], replace(inner, value=state)) if len(t) > 5 else state
     return Plan(made.select(out.alias("value")) if len(t) <= 5 or t[5][0] != "object" else made.select(*(compile_column(v, replace(inner, value=state)).alias(_name(k)) for k, v in t[5][1])), False)

@@ -54,3 +54,30 @@ def test_dynamic_errors(spark):
     kept = apply_json(rows, ".a", keep=("id",), errors="keep").orderBy("id").collect()
     assert [(r.id, r.pos, r.output, r.error is None) for r in kept] == [(1, 0, "1", True), (2, -1, None, False), (3, 0, "null", True)]
     assert apply_json(rows, ".a", keep=("id",), errors="skip").count() == 2
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """A session whose small shuffles are not joined into one partition, as those of large tables are not."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize(
+    "program, want",
+    [
+        ("sort_by(.k) | limit(7; skip(3; .[])) | {k}", lambda k: k[3:10]),
+        ("sort_by(.k) | [skip(3; .[])] | .[:7] | map({k})", lambda k: k[3:10]),
+        ("sort_by(-.k) | .[2990:] | map({k})", lambda k: k[::-1][2990:]),
+        ("sort_by(.k) | .[10:-2980] | map({k})", lambda k: k[10:-2980]),
+        ("sort_by(.none, .t, .k) | .[2990:] | map({k})", lambda k: sorted(k, key=lambda x: (x % 3, x))[2990:]),
+        ("sort_by(.k) | foreach .[] as $r (0; . + 1; {k: ($r.k)}) | {k}", lambda k: k),
+        ("sort_by(.k) | [foreach .[] as $r (0; . + 1)] | .[:5] | map({k: .})", lambda k: [1, 2, 3, 4, 5]),
+    ],
+)
+def test_cuts_keep_the_order(many_ranges, program, want):
+    rows = many_ranges.range(0, 3000, 1, 8).selectExpr("id * 1009 % 3000 as k", "cast(id * 1009 % 3000 % 3 as string) as t", "if(id % 2 = 0, null, null) as none", "id as pad")
+    assert [r.k for r in lower(rows, program).collect()] == want(list(range(3000)))
