@@ -140,12 +140,18 @@ def _format(name: str, c: Column) -> Column:
     raise NotLowered(name)
 
 
+def _log(f: Callable[[Column], Column], pole: float = 0.0) -> Callable[[Column], Column]:
+    """A logarithm as the language has it, where Spark's is null: -infinity at the pole, NaN below."""
+    return lambda c: F.when(c == pole, F.lit(float("-inf"))).when(c < pole, F.lit(float("nan"))).otherwise(f(c))
+
+
 #: name -> column function of the input alone
 UNARY: dict[str, Callable[[Column], Column]] = {
     "length": None, "not": lambda c: ~_truthy(c), "floor": F.floor, "ceil": F.ceil, "sqrt": F.sqrt, "abs": F.abs, "fabs": F.abs,
-    "round": F.round, "exp": F.exp, "exp2": lambda c: F.pow(F.lit(2.0), c), "exp10": lambda c: F.pow(F.lit(10.0), c), "log": F.log, "log2": F.log2, "log10": F.log10,
+    "round": F.round, "exp": F.exp, "exp2": lambda c: F.pow(F.lit(2.0), c), "exp10": lambda c: F.pow(F.lit(10.0), c), "log": _log(F.log), "log2": _log(F.log2), "log10": _log(F.log10),
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
-    "cbrt": F.cbrt, "trunc": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), "rint": F.rint, "log1p": F.log1p, "expm1": F.expm1,
+    "asinh": F.asinh, "acosh": F.acosh, "atanh": F.atanh,
+    "cbrt": F.cbrt, "trunc": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), "rint": F.rint, "log1p": _log(F.log1p, -1.0), "expm1": F.expm1,
     "ascii_downcase": lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
     "ascii_upcase": lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     "utf8bytelength": F.octet_length, "tostring": lambda c: c.cast("string"), "tonumber": lambda c: c.cast("double"),

@@ -81,3 +81,14 @@ def many_ranges(spark):
 def test_cuts_keep_the_order(many_ranges, program, want):
     rows = many_ranges.range(0, 3000, 1, 8).selectExpr("id * 1009 % 3000 as k", "cast(id * 1009 % 3000 % 3 as string) as t", "if(id % 2 = 0, null, null) as none", "id as pad")
     assert [r.k for r in lower(rows, program).collect()] == want(list(range(3000)))
+
+
+def test_mathematics_beyond_the_domain(spark):
+    rows = spark.createDataFrame([(1, -1.0), (2, 0.0), (3, 1.0), (4, -2.0), (5, None)], "id int, x double")
+    names = ["log", "log2", "log10", "log1p", "atanh", "acosh", "asin"]
+    made = lower(rows, ".[] | .x as $x | {id, " + ", ".join(f"{n}: ($x | {n})" for n in names) + "}", fallback=False).orderBy("id").collect()
+    texts = {r.id: [None if v is None else str(round(v, 3) + 0.0) for v in r[1:]] for r in made}
+    assert texts[1] == ["nan", "nan", "nan", "-inf", "-inf", "nan", "-1.571"]
+    assert texts[2] == ["-inf", "-inf", "-inf", "0.0", "0.0", "nan", "0.0"]
+    assert texts[3] == ["0.0", "0.0", "0.0", "0.693", "inf", "0.0", "1.571"]
+    assert texts[4] == ["nan"] * 7 and texts[5] == [None] * 7
