@@ -28,6 +28,8 @@ from .chunks import gather
 from .common import SPACES, checkpoint, discard, join_back, mix, records_per_batch, slices, span_hasher, stored, table, text_view, tidy, trim, words
 
 WORDS, SIMILARITY, K, ROWS, ROUNDS, TILE, SHARE = 5, 0.8, 96, 4, 2, 512, 512
+#: Edges of a graph that one task makes stars of.
+EDGES = 1 << 17
 _MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -195,18 +197,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, counts: bool)
     return one.join(leaders, ["x", "share"]).select("x", "y", "p", "q").mapInArrow(tidy(run), "x long, y long")
 
 
+def stars(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) to the least node v of each component, by shares of at most some ``EDGES`` edges, each by itself: of
+    one share these are the components."""
+
+    def run(batches):
+        pairs = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()]) for b in batches]
+        if not pairs:
+            return
+        nodes, spots = np.unique(np.concatenate(pairs, 1), return_inverse=True)
+        x, y = spots.reshape(2, -1)
+        low = np.arange(len(nodes))  # in the order of the ids
+        while ((p := low[x]) != (q := low[y])).any():
+            np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+            while (low[low] != low).any():
+                low = low[low]
+        tied = low != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[low[tied]])], ["u", "v"])
+
+    return edges.coalesce(-(-total // EDGES) or 1).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and label (the smallest id of its component) for the nodes of undirected edges (x, y), x <> y.
 
-    Alternating large-star and small-star steps; each groups by a node on the map side first and joins the minima back.
+    Shares of the edges are first made stars, each by itself; while there are too many for one share, alternating
+    large-star and small-star steps follow, each of which groups by a node on the map side first and joins the minima back.
     """
 
     def least(e):
         return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
 
-    e = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
+    def whole(e):
+        return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+
+    e = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v"))
     seen, total, done = None, e.count(), e
     while True:
+        one = total <= EDGES
+        if one or seen is None:
+            before, e = done, stored(stars(e, total))
+            done = e
+            discard(before)
+            if one:
+                return whole(e)
+            total = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         e = join_back(both, least(both), ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -218,7 +253,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         total = state[0]
         if state == seen:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+            return whole(e)
         seen = state
 
 

@@ -523,3 +523,27 @@ def test_exact_dedup_of_a_hot_text(spark, monkeypatch):
     rows = [(i, "the same" if i % 3 else f"own {i}" + " x" * 3000) for i in range(60)] + [(None, "The Same")]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (59, 41, i == 59) if i is None or i % 3 else (i, 1, True) for i, _ in rows}
+
+
+@pytest.mark.parametrize("share", [1 << 17, 40])
+def test_components_of_one_and_of_many_shares(spark, monkeypatch, share):
+    monkeypatch.setattr(minhash, "EDGES", share)
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (150, 2)) if a != b] + [(500, k) for k in range(501, 560)] + [(7, 3), (3, 7)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    frame = spark.createDataFrame(edges, "x long, y long").repartition(9)
+    assert dict(minhash.components(frame).collect()) == low
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark):
+    """Each job of many small tasks costs disk: shuffle files and the event log."""
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "components")
+    found = minhash.components(spark.range(1, 2000).selectExpr("id as x", "id - 1 as y"))
+    assert found.where("label = 0").count() == 2000
+    jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12
