@@ -2,7 +2,8 @@
 
 A text is cut before every run of ASCII white space, so that a chunk is such a run and what follows it.  Neither
 tokeniser here ever joins characters across such a cut, so a text's ids are those of its chunks in order.  A worker
-keeps the ids of the chunks it has met, up to ``most`` entries or ``most_bytes`` of text; then it starts afresh.  Chunks
+keeps the ids of the chunks it has met, up to ``most`` entries or ``most_bytes`` of text; then it goes on with those met
+in more than one slice since the last time, or starts afresh where even these are over half of that.  Chunks
 are looked up by 64-bit hashes, and every one found is compared with the chunk kept by its bytes: one whose hash is
 another chunk's is encoded by itself.
 
@@ -77,6 +78,19 @@ class ChunkCache:
         self.text = np.zeros(8, np.uint8)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def _thin(self) -> None:
+        """Go on with the chunks met again since they were learnt or last kept."""
+        kept = np.flatnonzero(self.again)
+        size, lengths = self.size[kept], self.lengths[kept]
+        if 2 * len(kept) > self.most or 2 * int(size.sum()) > self.most_bytes:
+            self._clear()
+            return
+        self.text = np.concatenate([gather(self.text, self.at[kept], size), np.zeros(8, np.uint8)])
+        self.pool = gather(self.pool, self.starts[kept], lengths)
+        self.at, self.starts = np.cumsum(size) - size, np.cumsum(lengths) - lengths
+        self.keys, self.size, self.lengths, self.again = self.keys[kept], size, lengths, np.zeros(len(kept), bool)
 
     def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         ids, lengths = self.encoder(chunks)
@@ -85,11 +99,11 @@ class ChunkCache:
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         at = len(self.text) - 8 + np.cumsum(size) - size
         self.text = np.concatenate([self.text[:-8], np.frombuffer(b"".join(chunks), np.uint8), np.zeros(8, np.uint8)])
-        columns = ((self.keys, keys), (self.starts, starts), (self.lengths, lengths), (self.at, at), (self.size, size))
+        columns = ((self.keys, keys), (self.starts, starts), (self.lengths, lengths), (self.at, at), (self.size, size), (self.again, np.zeros(len(keys), bool)))
         keys, *rest = (np.concatenate(x) for x in columns)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.starts, self.lengths, self.at, self.size = (x[order] for x in rest)
+        self.starts, self.lengths, self.at, self.size, self.again = (x[order] for x in rest)
 
     def encode(self, raw: np.ndarray, at: np.ndarray):
         """Per slice of rows: (first row, row after the last, all ids, ids of each row)."""
@@ -113,10 +127,11 @@ class ChunkCache:
             known = np.zeros(len(unique), bool)
             inside = spot < len(self.keys)
             known[inside] = self.keys[spot[inside]] == unique[inside]
+            self.again[spot[known]] = True
             if not known.all():
                 if len(self.keys) + len(unique) > self.most or len(self.text) + len(part) > self.most_bytes:
-                    self._clear()
-                    known[:] = False
+                    self._thin()
+                    known = np.isin(unique, self.keys, assume_unique=True)
                 text = part.tobytes()
                 self._learn(unique[~known], [text[starts[k] : ends[k]] for k in first[~known]])
                 spot = np.searchsorted(self.keys, unique)

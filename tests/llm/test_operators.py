@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pipewright.llm import bpe, chat, exact_dedup, fingerprint, licenses, minhash, packing, quality, suffix_dedup, toxicity
+from pipewright.llm import bpe, chat, chunks, exact_dedup, fingerprint, licenses, minhash, packing, quality, suffix_dedup, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon é ß".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _block string"
@@ -547,3 +547,18 @@ def test_components_of_a_small_graph_take_few_jobs(spark):
     jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 12
+
+
+def test_a_full_cache_keeps_what_is_met_again():
+    learnt = []
+
+    def encoder(some):
+        learnt.extend(some)
+        return np.concatenate([np.frombuffer(c, np.uint8) for c in some]).astype(np.int32), np.fromiter(map(len, some), np.int64, len(some))
+
+    cache = chunks.ChunkCache(encoder, most=60)
+    for k in range(50):
+        text = b"the same few words" + b"".join(b" once%d" % (20 * k + i) for i in range(20))
+        for _, _, ids, n in cache.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)])):
+            assert ids.astype(np.uint8).tobytes() == text and n.tolist() == [len(text)]
+    assert len(cache.keys) <= 60 and learnt.count(b" few") == 1
